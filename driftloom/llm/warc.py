@@ -93,7 +93,7 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
         part, serial, count, out = TaskContext.get().partitionId(), 0, 0, bytearray(lead)
         for pages in batches:
             for page, url, html, first, first_url, is_first in pages.itertuples(index=False):
-                page, first = (None if pd.isna(x) else int(x) for x in (page, first))
+                page, first = (None if x is None else int(x) for x in (page, first))
                 out += press.compress(
                     make_record(page, url, (html or "").encode(), None if is_first else record_id(first), first_url, date)
                 )
@@ -107,7 +107,9 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
             yield pd.DataFrame({"archive": [name], "n_records": [count], "n_bytes": [len(out)]})
 
     columns = ["page_id", "url", "html", "first_id", "first_url", "is_first"]
-    return records.select(*columns).mapInPandas(write, "archive string, n_records long, n_bytes long")
+    # ids go as text: pandas would turn integers beside nulls into floating point
+    as_text = [F.col(c).cast("string").alias(c) if c.endswith("_id") else c for c in columns]
+    return records.select(*as_text).mapInPandas(write, "archive string, n_records long, n_bytes long")
 
 
 def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -150,8 +152,11 @@ def read_archives(spark, folder: str) -> DataFrame:
                     rows.append(
                         (page_of(headers["warc-record-id"]), size, digest, headers["warc-type"], page_of(headers.get("warc-refers-to")))
                     )
-                out = pd.DataFrame(rows, columns=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-                yield out.astype({"page_id": "Int64", "refers_to": "Int64"})
+                page, size, digest, kind, refers = zip(*rows, strict=True)
+                page, refers = pd.array(page, dtype="Int64"), pd.array(refers, dtype="Int64")
+                yield pd.DataFrame(
+                    {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers}
+                )
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
     return files.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
