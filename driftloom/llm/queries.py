@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.exact_dedup import exact_dedup
+from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.sharding import shard_by_bytes
 from driftloom.llm.warc import warc_round_trip
 
@@ -27,12 +28,16 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"), percent=85)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op7_exact_dedup, op9_warc)}
+    return {f.__name__: f for f in (op4_sharding, op7_exact_dedup, op9_warc, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": OP7, "op9_warc": OP9}
+    return {"op7_exact_dedup": OP7, "op9_warc": OP9, "op10_minhash": OP10}
 
 
 OP7 = r"""
@@ -62,3 +67,36 @@ SELECT page_id,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM base
 """
+
+OP10 = r"""
+WITH RECURSIVE
+words AS (
+  SELECT doc_id, list_filter(
+    regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w
+  FROM documents
+),
+shingles AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN []
+    WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s
+  FROM words
+),
+sets AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n, s FROM shingles),
+class AS (SELECT doc_id, n, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep FROM sets WHERE n > 0),
+items AS (SELECT doc_id, n, unnest(s) AS h FROM sets WHERE doc_id IN (SELECT rep FROM class)),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c, any_value(a.n) AS na, any_value(b.n) AS nb
+  FROM items a JOIN items b ON a.h = b.h AND a.doc_id > b.doc_id GROUP BY 1, 2
+),
+link AS (SELECT a, b FROM common WHERE 100 * c >= 85 * (na + nb - c)),
+edge AS (SELECT a AS x, b AS y FROM link UNION SELECT b, a FROM link),
+reach AS (
+  SELECT DISTINCT rep AS x, rep AS y FROM class
+  UNION
+  SELECT reach.x, edge.y FROM reach JOIN edge ON reach.y = edge.x
+),
+root AS (SELECT x, min(y) AS r FROM reach GROUP BY x)
+SELECT sets.doc_id, sets.n AS n_shingles, coalesce(r, sets.doc_id) AS component_id, sets.doc_id = coalesce(r, sets.doc_id) AS kept
+FROM sets LEFT JOIN class USING (doc_id) LEFT JOIN root ON class.rep = root.x
+"""
