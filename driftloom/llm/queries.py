@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.exact_dedup import exact_dedup
 from driftloom.llm.minhash import near_duplicates
+from driftloom.llm.quality import quality
 from driftloom.llm.sharding import shard_by_bytes
+from driftloom.llm.token_output import token_round_trip
 from driftloom.llm.warc import warc_round_trip
 
 
@@ -20,6 +23,14 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
 
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
@@ -33,7 +44,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op7_exact_dedup, op9_warc, op10_minhash)}
+    return {f.__name__: f for f in (op4_sharding, op5_token_output, op6_quality, op7_exact_dedup, op9_warc, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
