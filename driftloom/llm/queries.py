@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.exact_dedup import exact_dedup
 from driftloom.llm.minhash import near_duplicates
+from driftloom.llm.packing import pack_documents
 from driftloom.llm.quality import quality
+from driftloom.llm.sentencepiece_codec import codec_round_trip
 from driftloom.llm.sharding import shard_by_bytes
 from driftloom.llm.token_output import token_round_trip
+from driftloom.llm.toxicity import toxicity
 from driftloom.llm.warc import warc_round_trip
 
 
@@ -19,6 +22,14 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codec_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_by_bytes(_table(spark, sf_dir, "documents"))
 
@@ -35,6 +46,10 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(_table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_round_trip(_table(spark, sf_dir, "pages"))
 
@@ -44,7 +59,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op5_token_output, op6_quality, op7_exact_dedup, op9_warc, op10_minhash)}
+    return {f.__name__: f for f in (op1_packing, op3_sentencepiece, op4_sharding, op5_token_output, op6_quality, op7_exact_dedup, op8_toxicity, op9_warc, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
