@@ -13,6 +13,7 @@ from driftloom.llm.packing import pack_documents
 from driftloom.llm.quality import quality
 from driftloom.llm.sentencepiece_codec import codec_round_trip
 from driftloom.llm.sharding import shard_by_bytes
+from driftloom.llm.suffix_dedup import repeated_spans
 from driftloom.llm.token_output import token_round_trip
 from driftloom.llm.toxicity import toxicity
 from driftloom.llm.warc import warc_round_trip
@@ -26,6 +27,10 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+
+
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codec_round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -59,7 +64,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_packing, op3_sentencepiece, op4_sharding, op5_token_output, op6_quality, op7_exact_dedup, op8_toxicity, op9_warc, op10_minhash)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_sentencepiece, op4_sharding, op5_token_output, op6_quality, op7_exact_dedup, op8_toxicity, op9_warc, op10_minhash)}
 
 
 def oracle_sql() -> dict[str, str]:
