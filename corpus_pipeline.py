@@ -1,26 +1,67 @@
-"""The text pipeline: each stage works on all that its predecessor kept."""
+"""The text pipeline: quality rules, exact and near duplicates, repeated passages, packing.
+
+Each stage works on all that its predecessor kept. Stages take (spark, docs, sf_dir); all but
+the last return the columns of documents. Ids are taken to name one text each.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from driftloom.llm.common import written
 from driftloom.llm.exact_dedup import exact_dedup
+from driftloom.llm.minhash import near_duplicates
+from driftloom.llm.packing import pack_documents
+from driftloom.llm.quality import VERDICT, judged
+from driftloom.llm.suffix_dedup import without_repeats
+
+#: Percent of shared 5-word shingles from which documents are near duplicates.
+SIMILARITY = 80
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules reject go."""
+    out = judged(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return out.where(f"{VERDICT}.kept").select(docs.columns)
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row of the smallest id stays."""
-    kept = exact_dedup(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+    dropped = exact_dedup(docs).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of every group of near duplicates, the document of the smallest id stays."""
+    dropped = near_duplicates(docs, percent=SIMILARITY).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages that occur again anywhere are cut out; every document stays."""
+    return without_repeats(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document gets a length bucket, a batch and a place."""
+    return pack_documents(docs)
 
 
-STAGES = [("exact_dedup", exact_stage)]
+STAGES = [
+    ("quality", quality_stage),
+    ("exact_dedup", exact_stage),
+    ("near_dedup", near_stage),
+    ("suffix_dedup", suffix_stage),
+    ("packing", packing_stage),
+]
 
 #: The stages tokenise and segment in ways that SQL does not express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the whole table of documents, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

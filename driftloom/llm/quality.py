@@ -81,6 +81,43 @@ def in_band(lang: str | None, n: int, per_token: float, fallback: float, bits: f
     return n > 0 and least <= per_token <= most and fallback <= bytes_most and bits >= entropy * np.log2(min(n, ENTROPY_TOKENS))
 
 
+_NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+_NAMES += ["n_tokens", "chars_per_token", "fallback_share", "entropy_bits"]
+_KINDS = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
+_SCHEMA = (
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
+    "kept boolean, n_tokens long, chars_per_token double, fallback_share double, entropy_bits double"
+)
+#: Holds the verdict beside whatever columns the rows have.
+VERDICT = "__verdict"
+
+
+def judged(
+    docs: DataFrame, vocabulary: str, pattern: str, bands: dict | None = None, text_col: str = "text", lang_col: str | None = "lang"
+) -> DataFrame:
+    """The rows as they are, with the struct VERDICT of their counts and verdict; see quality."""
+    bands = bands or BANDS
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch[lang_col].to_pylist() if lang_col in batch.schema.names else [None] * batch.num_rows
+            rows = []
+            for text, lang in zip(batch[text_col].to_pylist(), langs, strict=True):
+                text = text or ""
+                data = text.encode()
+                words = data.split()
+                counts = base_counts(data, words, text)
+                tokens = fertility(text, counts[0], vocabulary, pattern)
+                failed = len(words) < LEAST_WORDS or 100 * counts[3] > REPEAT_PERCENT * len(words)
+                rows.append((len(words), *counts, failed, not failed and bool(in_band(lang, *tokens, bands)), *tokens))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
+            verdict = pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], _NAMES)
+            yield pa.RecordBatch.from_arrays([*batch.columns, verdict], [*batch.schema.names, VERDICT])
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(judge, f"{own}, {VERDICT} struct<{_SCHEMA.replace(' ', ': ').replace(',: ', ', ')}>")
+
+
 def quality(
     docs: DataFrame,
     vocabulary: str,
@@ -95,7 +132,7 @@ def quality(
     Words are the runs of characters that are no ASCII white space. A document fails the base
     rules with fewer than LEAST_WORDS words or with over REPEAT_PERCENT of its words in 5-word
     windows that occur twice. Others are kept if characters per token, byte-fallback share and
-    token entropy, as the public vocabulary cuts the words, lie in the band of the language.
+    token entropy, as the public vocabulary cuts the text, lie in the band of the language.
 
     Defined cases: a null or empty text has no words, zero counts, and fails; a null or unknown
     language, or none given, has the band None; null ids and repeated rows are judged row by
@@ -103,29 +140,7 @@ def quality(
     Out: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     n_tokens, chars_per_token, fallback_share, entropy_bits.
     """
-    bands = bands or BANDS
     lang = F.col(lang_col).cast("string") if lang_col and lang_col in docs.columns else F.lit(None).cast("string")
     base = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), lang.alias("lang"))
-
-    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist(), strict=True):
-                data = text.encode()
-                words = data.split()
-                counts = base_counts(data, words, text)
-                tokens = fertility(text, counts[0], vocabulary, pattern)
-                failed = len(words) < LEAST_WORDS or 100 * counts[3] > REPEAT_PERCENT * len(words)
-                rows.append((len(words), *counts, failed, not failed and in_band(lang, *tokens, bands), *tokens))
-            columns = list(zip(*rows, strict=True)) or [[]] * len(names[1:])
-            arrays = [pa.array(c, kind) for c, kind in zip(columns, kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch["id"], *arrays], names)
-
-    names = ["id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    names += ["n_tokens", "chars_per_token", "fallback_share", "entropy_bits"]
-    kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()] + [pa.float64()] * 3
-    schema = (
-        f"id {base.schema['id'].dataType.simpleString()}, n_words long, word_chars long, n_symbols long, n_dup_lines long, "
-        "n_repeat_words long, base_failed boolean, kept boolean, n_tokens long, chars_per_token double, fallback_share double, entropy_bits double"
-    )
-    return base.mapInArrow(judge, schema).withColumnRenamed("id", id_col)
+    out = judged(base, vocabulary, pattern, bands)
+    return out.select(F.col("id").alias(id_col), *[F.col(f"{VERDICT}.{n}").alias(n) for n in _NAMES])

@@ -28,7 +28,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_spans(_table(spark, sf_dir, "documents")).drop("starts", "ends")
+    return repeated_spans(_table(spark, sf_dir, "documents")).drop("starts", "ends", "sig")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

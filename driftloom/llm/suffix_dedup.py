@@ -286,7 +286,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Defined cases: null and empty texts, and those below LENGTH bytes, lose nothing; rows
     repeated with the same id are two places of their text; null ids are one id among others;
     an empty table gives none; extra columns are ignored.
-    Out: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs).
+    Out: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs), and
+    sig, a hash of the text that tells rows of one id apart.
     """
     text = text_of(text_col)
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
@@ -347,4 +348,47 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         "starts",
         "ends",
+        lean["sig"],
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+    """The documents with the repeated runs cut out of their texts; rows and columns stay.
+
+    A run is shortened to whole characters. Where chars_col is a column, it gets the new count
+    of characters of the texts that are cut. Null texts stay null. See repeated_spans.
+    """
+    spans = repeated_spans(docs, id_col, text_col).where("n_spans > 0")
+    spans = spans.select(F.col(id_col).alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    spans = spans.dropDuplicates(["__id", "__sig"])
+    signed = docs.withColumn("__own", F.xxhash64(text_of(text_col)))
+    found = signed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, changed = batch[text_col].to_pylist(), []
+            for k, (starts, ends) in enumerate(zip(batch["__starts"].to_pylist(), batch["__ends"].to_pylist(), strict=True)):
+                if starts:
+                    texts[k] = _cut_text(texts[k], starts, ends)
+                changed.append(bool(starts))
+            columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+            columns[text_col] = pa.array(texts, batch[text_col].type)
+            if chars_col in columns:
+                counts = [len(t) if c else n for t, c, n in zip(texts, changed, columns[chars_col].to_pylist(), strict=True)]
+                columns[chars_col] = pa.array(counts, columns[chars_col].type)
+            yield pa.RecordBatch.from_arrays([columns[c] for c in names], names)
+
+    names = docs.columns
+    return found.select(*names, "__starts", "__ends").mapInArrow(cut, docs.schema)
+
+
+def _cut_text(text: str, starts: list[int], ends: list[int]) -> str:
+    data, at, parts = text.encode(), 0, []
+    for start, end in zip(starts, ends, strict=True):
+        while start < end and data[start] & 0xC0 == 0x80:
+            start += 1
+        while end > start and end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        parts.append(data[at:start])
+        at = end
+    return b"".join([*parts, data[at:]]).decode()
