@@ -22,8 +22,9 @@ MAGIC = b"PLANES1\n"
 BLOCK_IDS, FILE_IDS = 1 << 16, 1 << 22
 #: The id after each document.
 END_ID = 0
-#: Pieces, and words in letters, whose ids a worker remembers; the first ones seen stay.
-REMEMBERED = 300_000
+#: Pieces, and words in letters, whose ids a worker remembers (about 200 bytes each); the first ones
+#: seen stay.
+PIECES, WORDS = 900_000, 500_000
 
 _ENCODERS: dict[str, WordEncoder] = {}
 
@@ -59,7 +60,7 @@ class WordEncoder:
         ids = self.cores.get(word)
         if ids is None:
             ids = self._merge(" " + word)
-            if len(self.cores) < REMEMBERED:
+            if len(self.cores) < WORDS:
                 self.cores[word] = ids
         return ids
 
@@ -73,7 +74,7 @@ class WordEncoder:
             ids = self._core(piece[:-1]) + self.marks[piece[-1]]
         else:
             ids = self._general(" " + piece)
-        if len(self.known) < REMEMBERED:
+        if len(self.known) < PIECES:
             self.known[piece] = ids
         return ids
 
