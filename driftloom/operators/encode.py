@@ -44,6 +44,8 @@ def label_codes(frame: SplitFrame, train_only: bool = False, unseen: int = -1, m
     With min_frequency, levels below that share of the rows are one level (sorted last) and a
     missing one gets the greatest code plus one.
     """
+    if not frame.spec.cat:
+        return frame
     counts = sizes(level_counts(frame))
     if train_only:
         counts = counts.where("n_train > 0")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -54,12 +57,8 @@ def pca(frame: SplitFrame, components: int | float = 5, train_only: bool = False
     scaled = zscore(impute_median(frame, train_only), train_only, suffix="__z")
     z = [f"{c}__z" for c in columns]
     p = len(z)
-    cells = [(i, j) for i in range(p) for j in range(i, p)]
     fit = scaled.train if train_only else scaled.df
-    row = fit.agg(*[F.avg(F.col(z[i]) * F.col(z[j])).alias(f"m{i}_{j}") for i, j in cells]).first()
-    matrix = np.zeros((p, p))
-    for (i, j), v in zip(cells, row, strict=True):
-        matrix[i, j] = matrix[j, i] = v or 0.0
+    matrix = _gram(fit.select(*[F.col(c).cast("double") for c in z]), p)
     values, loadings = np.linalg.eigh(matrix)
     values, loadings = np.maximum(values[::-1], 0), loadings[:, ::-1]
     if isinstance(components, float):
@@ -79,6 +78,25 @@ def pca(frame: SplitFrame, components: int | float = 5, train_only: bool = False
     return out if train_only else out.adding(out.df, prescaled=True)
 
 
+def _gram(rows: DataFrame, p: int) -> np.ndarray:
+    """The mean of the outer products of rows: p x p sums per partition, added before they are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros((p, p)), 0
+        for batch in batches:
+            x = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64))
+            total += x.T @ x
+            n += len(x)
+        i, j = np.triu_indices(p)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(total[i, j]), pa.array(np.full(len(i), n))], ["i", "j", "v", "n"])
+
+    out = np.zeros((p, p))
+    sums = rows.mapInArrow(run, "i long, j long, v double, n long").groupBy("i", "j").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    for r in sums.collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"] / max(r["n"], 1)
+    return out
+
+
 def finite(df: DataFrame, columns: list[str], limit: float = 1e10) -> DataFrame:
     """NaN to 0 and infinities to plus or minus the limit."""
     clean = lambda c: F.when(F.isnan(c), 0.0).when(F.col(c) == float("inf"), limit).when(F.col(c) == float("-inf"), -limit).otherwise(F.col(c))
