@@ -187,8 +187,8 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The stretches of the contexts that this document stands for."""
-    names = ["h", "c", "k", "gram", "n_left", "around", "places"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64()]
+    names = ["h", "c", "k", "gram", "n_left", "around", "places", "s"]
+    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
     for batch in batches:
         rows = []
         for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist(), strict=True):
@@ -201,11 +201,14 @@ def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             inside = (at >= 0) & (at + GRAM <= len(data))
             gram = np.zeros(len(at), dtype=np.uint64)
             gram[inside] = span_hash(prefix, at[inside], at[inside] + GRAM)
+            low, high = np.maximum(at - STEP, 0), np.minimum(at + LENGTH, len(data))
+            whole = np.zeros(len(at), dtype=np.uint64)
+            whole[inside] = span_hash(prefix, low[inside], high[inside]) + (at - low)[inside].astype(np.uint64)
             for i in np.flatnonzero(inside).tolist():
                 f, p = found[i // CLASSES], int(at[i])
                 left = data[max(0, p - STEP) : p]
                 around = left + data[p + GRAM : p + LENGTH]
-                rows.append((f["h"], f["c"], i % CLASSES, int(gram[i].view(np.int64)), len(left), around, f["places"]))
+                rows.append((f["h"], f["c"], i % CLASSES, int(gram[i].view(np.int64)), len(left), around, f["places"], int(whole[i].view(np.int64))))
         columns = list(zip(*rows, strict=True)) or [[]] * len(names)
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
@@ -216,10 +219,11 @@ _UNIT = ["h", "k", "gram"]
 def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows of a unit stand together; a mask for each of its stretches."""
     now, held = None, []
-    schema = pa.schema([*((u, pa.int32() if u == "k" else pa.int64()) for u in _UNIT), ("n_left", pa.int32()), ("around", pa.binary()), ("mask", pa.int32())])
+    schema = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("s", pa.int64()), ("mask", pa.int32())])
 
     def close() -> list[tuple]:
-        return [(*now, n, a, m) for (n, a, _), m in zip(held, repeated_starts(held), strict=True) if m] if held else []
+        masks = repeated_starts([stretch for _, stretch in held]) if held else []
+        return [(now[0], now[1], s, m) for (s, _), m in zip(held, masks, strict=True) if m]
 
     def table(rows: list[tuple]) -> pa.RecordBatch:
         columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
@@ -228,11 +232,11 @@ def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         done = []
         unit = list(zip(*(batch[u].to_pylist() for u in _UNIT), strict=True))
-        for key, n, around, places in zip(unit, *(batch[c].to_pylist() for c in ("n_left", "around", "places")), strict=True):
+        for key, s, n, around, places in zip(unit, *(batch[c].to_pylist() for c in ("s", "n_left", "around", "places")), strict=True):
             if key != now:
                 done += close()
                 now, held = key, []
-            held.append((n, around, places))
+            held.append((s, (n, around, places)))
         yield table(done)
     yield table(close())
 
@@ -294,14 +298,13 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     long = base.where(F.octet_length("text") >= LENGTH)
     found = written(long.mapInArrow(_anchor_rows, "doc_id long, sig long, place int, h long, c long"), "anchors")
 
-    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("low"), F.max("c").alias("high")).where("n > 1")
-    often = written(found.join(counted.select("h", (F.col("low") != F.col("high")).alias("differ")), "h"), "repeated")
-    contexts = often.where("differ").groupBy("h", "c").agg(
-        F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "sig", "place")).alias("stands")
-    )
+    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    often = written(found.join(counted.select("h"), "h"), "repeated")
+    contexts = often.groupBy("h", "c").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "sig", "place")).alias("stands"))
+    lonely = contexts.where("places = 1").select("h").distinct().withColumn("lonely", F.lit(True))
     here = F.struct("doc_id", "sig", "place")
-    marked = often.join(contexts, ["h", "c"], "left").select(
-        "doc_id", "sig", "place", "h", "c", F.coalesce("places", F.lit(2)).alias("places"), F.coalesce(F.col("stands").eqNullSafe(here), F.lit(False)).alias("asks")
+    marked = often.join(contexts.join(lonely, "h", "left"), ["h", "c"]).select(
+        "doc_id", "sig", "place", "h", "c", "places", (F.col("lonely").isNotNull() & F.col("stands").eqNullSafe(here)).alias("asks")
     )
     listed = marked.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "h", "c", "places", "asks")).alias("found"))
     same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sig"] == b["sig"])
@@ -310,23 +313,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
     stretches = written(
-        held.mapInArrow(_stretches, "h long, c long, k int, gram long, n_left int, around binary, places long"), "stretches"
+        held.mapInArrow(_stretches, "h long, c long, k int, gram long, n_left int, around binary, places long, s long"), "stretches"
     )
-    strings = stretches.groupBy(*_UNIT, "n_left", "around").agg(F.sum("places").alias("places"))
+    strings = stretches.groupBy(*_UNIT, "n_left", "around").agg(F.sum("places").alias("places"), F.first("s").alias("s"))
     units = strings.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("m"), F.max("places").alias("most"))
     joined = written(strings.join(units.where("m > 1 or most > 1"), _UNIT), "units")
     least = F.greatest(F.lit(0), F.lit(STEP) - (F.octet_length("around") - F.col("n_left")))
     whole = F.expr("if(least <= n_left, shiftleft(1, n_left + 1) - shiftleft(1, least), 0)")
-    alone = joined.where("m = 1").withColumn("least", least).select(*_UNIT, "n_left", "around", whole.cast("int").alias("mask"))
+    alone = joined.where("m = 1").withColumn("least", least).select("h", "k", "s", whole.cast("int").alias("mask"))
     few = joined.where(f"m > 1 and m <= {UNIT_STRINGS}").drop("m", "most").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    decided = few.mapInArrow(_decide, "h long, k int, gram long, n_left int, around binary, mask int")
+    decided = few.mapInArrow(_decide, "h long, k int, s long, mask int")
     starts = joined.where(f"m > {UNIT_STRINGS}").withColumn("j", F.explode(F.expr("filter(sequence(0, n_left), x -> x + octet_length(around) - n_left >= %d)" % STEP)))
     part = F.expr(f"substring(around, n_left - j + 1, {STEP})")
-    starts = starts.select(*_UNIT, "n_left", "around", "places", "j", part.alias("part"))
+    starts = starts.select(*_UNIT, "s", "places", "j", part.alias("part"))
     twice = starts.groupBy(*_UNIT, "j", "part").agg(F.sum("places").alias("n")).where("n > 1")
-    many = starts.join(twice, [*_UNIT, "j", "part"]).groupBy(*_UNIT, "n_left", "around").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
+    many = starts.join(twice, [*_UNIT, "j", "part"]).groupBy("h", "k", "s").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
     masks = alone.unionByName(decided).unionByName(many).where("mask <> 0")
-    per_context = stretches.where("places = 1").join(masks, [*_UNIT, "n_left", "around"]).groupBy("h", "c").agg(
+    per_context = stretches.where("places = 1").select("h", "c", "k", "s").join(masks, ["h", "k", "s"]).groupBy("h", "c").agg(
         F.collect_list(F.struct("k", "mask")).alias("masks")
     )
 
