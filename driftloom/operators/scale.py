@@ -67,13 +67,13 @@ def pca(frame: SplitFrame, components: int | float = 5, train_only: bool = False
     else:
         k = min(components, p)
     prefix = "pca_train_pc" if train_only else "joint_pc"
-    df = scaled.df
+    cells = F.array(*z)
+    made = {}
     for i in range(k):
         v = loadings[:, i] * np.sign(loadings[np.argmax(np.abs(loadings[:, i])), i])
-        total = F.lit(0.0)
-        for name, w in zip(z, v, strict=True):
-            total = total + F.col(name) * F.lit(float(w))
-        df = df.withColumn(f"{prefix}{i + 1}", total)
+        products = F.zip_with(cells, F.array(*[F.lit(float(w)) for w in v]), lambda x, w: x * w)
+        made[f"{prefix}{i + 1}"] = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    df = scaled.df.withColumns(made)
     out = frame.adding(df.drop(*z), *[f"{prefix}{i + 1}" for i in range(k)])
     return out if train_only else out.adding(out.df, prescaled=True)
 
