@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from driftloom.frame import MISSING, SPLIT, TARGET, TEST, TRAIN, SplitFrame, attach, level, melt_levels
 from driftloom.functions.tests import chi2_statistic, chi2_tail
 
-IS_TRAIN, IS_TEST = F.col(SPLIT) == TRAIN, F.col(SPLIT) == TEST
+
+def _in(split: str) -> Column:
+    return F.col(SPLIT) == split
 
 
 def level_counts(frame: SplitFrame) -> DataFrame:
@@ -17,10 +19,10 @@ def level_counts(frame: SplitFrame) -> DataFrame:
     Persisted, as the lookup of each column reads it; its rows are the distinct levels.
     """
     return melt_levels(frame).groupBy("column", "value").agg(
-        F.count(F.when(IS_TRAIN, 1)).alias("n_train"),
-        F.count(F.when(IS_TEST, 1)).alias("n_test"),
-        F.sum(F.when(IS_TRAIN, F.col(TARGET))).alias("y_sum"),
-        F.count(F.when(IS_TRAIN, F.col(TARGET))).alias("y_n"),
+        F.count(F.when(_in(TRAIN), 1)).alias("n_train"),
+        F.count(F.when(_in(TEST), 1)).alias("n_test"),
+        F.sum(F.when(_in(TRAIN), F.col(TARGET))).alias("y_sum"),
+        F.count(F.when(_in(TRAIN), F.col(TARGET))).alias("y_n"),
     ).persist()
 
 
@@ -161,7 +163,7 @@ def target_encoding_oof(
     Totals less the own fold's sums: one pass, not one per fold. The global mean and the shares
     in test stay those of all data.
     """
-    melted = frame.df.withColumn("__fold", F.when(IS_TRAIN, fold.cast("int")).otherwise(-1))
+    melted = frame.df.withColumn("__fold", F.when(_in(TRAIN), fold.cast("int")).otherwise(-1))
     pairs = F.array(*[F.struct(F.lit(c).alias("column"), level(c).alias("value")) for c in frame.spec.cat])
     by_fold = (
         melted.select(SPLIT, TARGET, "__fold", F.inline(pairs))
