@@ -107,7 +107,7 @@ def judged(
                 data = text.encode()
                 words = data.split()
                 counts = base_counts(data, words, text)
-                tokens = fertility(text, counts[0], vocabulary, pattern)
+                tokens = fertility(b" ".join(words).decode(), counts[0], vocabulary, pattern)
                 failed = len(words) < LEAST_WORDS or 100 * counts[3] > REPEAT_PERCENT * len(words)
                 rows.append((len(words), *counts, failed, not failed and bool(in_band(lang, *tokens, bands)), *tokens))
             columns = list(zip(*rows, strict=True)) or [[]] * len(_NAMES)
@@ -132,7 +132,8 @@ def quality(
     Words are the runs of characters that are no ASCII white space. A document fails the base
     rules with fewer than LEAST_WORDS words or with over REPEAT_PERCENT of its words in 5-word
     windows that occur twice. Others are kept if characters per token, byte-fallback share and
-    token entropy, as the public vocabulary cuts the text, lie in the band of the language.
+    token entropy, as the public vocabulary cuts the words joined by single spaces, lie in the band
+    of the language; how the words were spaced or broken into lines plays no part.
 
     Defined cases: a null or empty text has no words, zero counts, and fails; a null or unknown
     language, or none given, has the band None; null ids and repeated rows are judged row by
