@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from driftloom.frame import ROLE, SPLIT, SRC_ID, SRC_SPLIT, TARGET, TEST, TRAIN, WEIGHT, SplitFrame
 from driftloom.operators.encode import label_codes
+from driftloom.operators.lineage import cut
 from driftloom.operators.neighbors import row_fold
 from driftloom.operators.scale import finite, impute_median
 
@@ -148,7 +149,8 @@ def pseudo_label(
             scored = _calibrated(scored, score(train).withColumn("y", F.col(TARGET)), calibrate)
         sure = F.greatest("p", 1 - F.col("p"))
         scale = {"fixed": F.lit(1.0), "proportional": (sure - 0.5) / 0.5 * 2, "quadratic": F.pow((sure - 0.5) / 0.5, F.lit(2)) * 2}[weight_mode]
-        new = scored.where(sure >= confidence).withColumn("w", scale * weight).withColumn(TARGET, (F.col("p") >= 0.5).cast("double")).drop("p").checkpoint()
+        new = scored.where(sure >= confidence).withColumn("w", scale * weight)
+        new = cut(new.withColumn(TARGET, (F.col("p") >= 0.5).cast("double")).drop("p"))
         if not new.head(1):
             break
         accepted = new if accepted is None else accepted.unionByName(new)

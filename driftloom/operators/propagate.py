@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TARGET, TRAIN, SplitFrame
+from driftloom.operators.lineage import cut as checkpointed
 from driftloom.operators.neighbors import nearest, row_fold, space
 
 
@@ -35,7 +36,7 @@ def propagate(
     """
     edges = edges.persist()
     state = labels.select("id", "run", "fixed", F.col("start").alias("f"))
-    cut = cut or (lambda df: df.checkpoint())
+    cut = cut or checkpointed
     for step in range(iterations):
         spread = edges.join(state.select(F.col("id").alias("dst"), "run", "f"), "dst").groupBy(F.col("src").alias("id"), "run").agg(F.sum(F.col("w") * F.col("f")).alias("wf"))
         new = state.join(spread, ["id", "run"], "left").select(

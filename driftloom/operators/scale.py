@@ -47,19 +47,24 @@ def zscore(frame: SplitFrame, train_only: bool = False, codes: bool = False, suf
 def pca(frame: SplitFrame, components: int | float = 5, train_only: bool = False) -> SplitFrame:
     """Principal components of the imputed, scaled numerics: `joint_pc{i}` or `pca_train_pc{i}`.
 
-    The moments are one aggregate; the driver gets the p x p correlations alone. A fraction asks
-    for the fewest components that explain more than it. The greatest loading of a component is
-    positive.
+    The driver gets one row of medians (of columns with gaps), one of means, and p x p sums of
+    products. A fraction asks for the fewest components that explain more than it. The greatest
+    loading of a component is positive.
     """
     columns = frame.spec.num
     if not columns:
         return frame
-    scaled = zscore(impute_median(frame, train_only), train_only, suffix="__z")
-    z = [f"{c}__z" for c in columns]
-    p = len(z)
-    fit = scaled.train if train_only else scaled.df
-    matrix = _gram(fit.select(*[F.col(c).cast("double") for c in z]), p)
-    values, loadings = np.linalg.eigh(matrix)
+    fit = frame.train if train_only else frame.df
+    p = len(columns)
+    first = fit.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(f"g{i}") for i, c in enumerate(columns)]).first()
+    gaps = [i for i in range(p) if first[f"g{i}"]]
+    middle = fit.agg(*[F.median(columns[i]).alias(f"m{i}") for i in gaps]).first() if gaps else {}
+    filled = [F.coalesce(F.col(c).cast("double"), F.lit(float((middle[f"m{i}"] if i in gaps else None) or 0.0))) for i, c in enumerate(columns)]
+    means = np.array([m or 0.0 for m in fit.agg(*[F.avg(x).alias(f"a{i}") for i, x in enumerate(filled)]).first()])
+    moments = _gram(fit.select(*[x.alias(f"x{i}") for i, x in enumerate(filled)]), means)
+    spread = np.sqrt(np.maximum(np.diag(moments), 0.0))
+    spread[spread <= 1e-12 * np.maximum(1.0, np.abs(means))] = 1.0
+    values, loadings = np.linalg.eigh(moments / np.outer(spread, spread))
     values, loadings = np.maximum(values[::-1], 0), loadings[:, ::-1]
     if isinstance(components, float):
         share = np.cumsum(values) / max(values.sum(), 1e-300)
@@ -67,24 +72,24 @@ def pca(frame: SplitFrame, components: int | float = 5, train_only: bool = False
     else:
         k = min(components, p)
     prefix = "pca_train_pc" if train_only else "joint_pc"
-    cells = F.array(*z)
     made = {}
     for i in range(k):
-        v = loadings[:, i] * np.sign(loadings[np.argmax(np.abs(loadings[:, i])), i])
-        products = F.zip_with(cells, F.array(*[F.lit(float(w)) for w in v]), lambda x, w: x * w)
-        made[f"{prefix}{i + 1}"] = F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-    df = scaled.df.withColumns(made)
-    out = frame.adding(df.drop(*z), *[f"{prefix}{i + 1}" for i in range(k)])
+        v = loadings[:, i] * np.sign(loadings[np.argmax(np.abs(loadings[:, i])), i]) / spread
+        products = F.zip_with("__cells", F.array(*[F.lit(float(w)) for w in v]), lambda x, w: x * w)
+        made[f"{prefix}{i + 1}"] = F.aggregate(products, F.lit(float(-(v * means).sum())), lambda total, x: total + x)
+    df = frame.df.withColumn("__cells", F.array(*filled)).withColumns(made).drop("__cells")
+    out = frame.adding(df, *made)
     return out if train_only else out.adding(out.df, prescaled=True)
 
 
-def _gram(rows: DataFrame, p: int) -> np.ndarray:
-    """The mean of the outer products of rows: p x p sums per partition, added before they are collected."""
+def _gram(rows: DataFrame, means: np.ndarray) -> np.ndarray:
+    """The mean of the outer products of centred rows: p x p sums per partition, added before they are collected."""
+    p = len(means)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, n = np.zeros((p, p)), 0
         for batch in batches:
-            x = np.nan_to_num(np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64))
+            x = np.column_stack([c.to_numpy(zero_copy_only=False) for c in batch.columns]).astype(np.float64) - means
             total += x.T @ x
             n += len(x)
         i, j = np.triu_indices(p)

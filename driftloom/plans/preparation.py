@@ -11,6 +11,8 @@ from driftloom.operators import etl as X
 from driftloom.operators import runs as R
 from driftloom.operators import temporal as G
 from driftloom.plans.catalog import EV_SQL, ORD_SQL, event_frame, order_rows, query, r6, table
+from driftloom.sources.datasets import synthetic
+from driftloom.streaming import stats as S
 
 _NTZ = lambda s: F.lit(s).cast("timestamp_ntz")
 
@@ -292,3 +294,40 @@ def collect_runs(spark, sf_dir):
     merged, missing = R.collected(tasks, [done.where("fold = 0"), done.where("fold > 0").drop("cost")])
     pick = lambda df, kind: df.select(F.lit(kind).alias("kind"), "dataset", "method", "fold")
     return pick(merged, "done").unionByName(pick(missing, "missing"))
+
+
+# -- mergeable statistics and generated data ---------------------------------------------------------------
+
+
+@query("windowed_levels", "SELECT strftime(ts, '%Y-%m-%d') AS day, 'event_type' AS col, event_type AS value, count(*) AS n FROM events GROUP BY ALL")
+def windowed_levels(spark, sf_dir):
+    """The statistics that a stream keeps, over the whole table as one batch."""
+    out = S.windowed_levels(table(spark, sf_dir, "events"), "ts", ("event_type",))
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("column").alias("col"), "value", "n")
+
+
+@query(
+    "windowed_moments",
+    f"SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(value) AS n, {r6('sum(value)')} AS total, {r6('sum(value * value)')} AS squares FROM events GROUP BY ALL",
+)
+def windowed_moments(spark, sf_dir):
+    out = S.windowed_moments(table(spark, sf_dir, "events"), "ts", "event_type", "value")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), F.col("group").alias("event_type"), "n", "total", "squares")
+
+
+@query("synthetic_shift")
+def synthetic_shift(spark, sf_dir):
+    """Shift statistics of generated tables of rising strength."""
+    out = None
+    for strength in (0.0, 1.0, 3.0):
+        one = D.ks(synthetic(spark, 4000, 4000, strength)).select(F.lit(strength).alias("strength"), F.col("column").alias("feature"), "ks")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(
+    "table_fingerprint",
+    "SELECT count(*) AS n FROM nation",
+)
+def table_fingerprint(spark, sf_dir):
+    return X.file_contract(table(spark, sf_dir, "nation")).select(F.col("rows").alias("n"))
