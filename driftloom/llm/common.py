@@ -38,11 +38,6 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def spread(df: DataFrame, least: int = 48) -> DataFrame:
-    """Deal rows round robin when the scan has fewer splits than tasks that could run."""
-    return df.repartition(least) if df.rdd.getNumPartitions() < least else df
-
-
 # -- hashing of bytes, vectorised ---------------------------------------------------------
 
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
