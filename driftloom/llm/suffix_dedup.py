@@ -246,13 +246,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "sig", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
     for batch in batches:
         removed, spans, digest, begins, ends = [], [], [], [], []
-        for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist(), strict=True):
+        for text, whole, parts in zip(*(batch[c].to_pylist() for c in ("text", "whole", "parts")), strict=True):
             data = np.frombuffer(text.encode(), dtype=np.uint8)
             start = np.zeros(len(data) - LENGTH + 1, dtype=bool)
-            for f in found:
-                if f["whole"]:
-                    start[max(0, f["place"] - (LENGTH - ANCHOR)) : f["place"] + 1] = True
-                for m in f["masks"] or []:
+            for place in whole:
+                start[max(0, place - (LENGTH - ANCHOR)) : place + 1] = True
+            for f in parts or []:
+                for m in f["masks"]:
                     p = f["place"] - STEP * m["k"]
                     start[[p - j for j in range(STEP + 1) if m["mask"] >> j & 1]] = True
             at = np.flatnonzero(start)
@@ -294,8 +294,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     sig, a hash of the text that tells rows of one id apart.
     """
     text = text_of(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
-    long = base.where(F.octet_length("text") >= LENGTH)
+    # results follow from the text alone, so a null id may share its key with the least id
+    own = F.col(id_col).cast("long")
+    base = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    long = base.where(F.octet_length("text") >= LENGTH).select("doc_id", "sig", "text")
     found = written(long.mapInArrow(_anchor_rows, "doc_id long, sig long, place int, h long, c long"), "anchors")
 
     counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -307,10 +309,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "doc_id", "sig", "place", "h", "c", "places", (F.col("lonely").isNotNull() & F.col("stands").eqNullSafe(here)).alias("asks")
     )
     listed = marked.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "h", "c", "places", "asks")).alias("found"))
-    same = lambda a, b: a["doc_id"].eqNullSafe(b["doc_id"]) & (a["sig"] == b["sig"])
-    held = written(
-        long.join(listed, same(long, listed)).select(long["doc_id"], long["sig"], "text", "found").dropDuplicates(["doc_id", "sig"]), "held"
-    )
+    key = ["doc_id", "sig"]
+    held = written(long.join(listed, key).dropDuplicates(key), "held")
 
     stretches = written(
         held.mapInArrow(_stretches, "h long, c long, k int, gram long, n_left int, around binary, places long, s long"), "stretches"
@@ -333,25 +333,24 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.collect_list(F.struct("k", "mask")).alias("masks")
     )
 
-    exploded = held.select("doc_id", "sig", F.inline("found"))
-    wholly = exploded.where("places > 1").select("doc_id", "sig", "place", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<k:int,mask:int>>").alias("masks"))
-    partly = exploded.where("places = 1").join(per_context, ["h", "c"]).select("doc_id", "sig", "place", F.lit(False).alias("whole"), "masks")
-    covered = wholly.unionByName(partly).groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "whole", "masks")).alias("found"))
-    texts = held.select("doc_id", "sig", "text")
-    cut = texts.join(covered, same(texts, covered)).select(texts["doc_id"], texts["sig"], "text", "found").mapInArrow(
+    asked = held.select(*key, F.inline("found")).where("places = 1").select(*key, "place", "h", "c")
+    partly = asked.join(per_context, ["h", "c"]).groupBy(*key).agg(F.collect_list(F.struct("place", "masks")).alias("parts"))
+    wholly = F.transform(F.filter("found", lambda f: f["places"] > 1), lambda f: f["place"])
+    cut = held.select(*key, "text", wholly.alias("whole")).join(partly, key, "left").where("size(whole) > 0 or parts is not null")
+    cut = cut.mapInArrow(
         _cut, "doc_id long, sig long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
     )
     cut = written(cut, "cut")
-    lean = base.select("doc_id", "sig", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    return lean.join(cut, same(lean, cut), "left").select(
-        lean["doc_id"].alias(id_col),
+    lean = base.select("own_id", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    return lean.join(cut, key, "left").select(
+        F.col("own_id").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
         F.coalesce("n_spans", F.lit(0)).alias("n_spans"),
         F.coalesce("kept_sha256", "sha").alias("kept_sha256"),
         "starts",
         "ends",
-        lean["sig"],
+        "sig",
     )
 
 
