@@ -18,6 +18,8 @@ from driftloom.llm.suffix_dedup import without_repeats
 
 #: Percent of shared 5-word shingles from which documents are near duplicates.
 SIMILARITY = 80
+#: Passages of so many words (over 50) that occur again are cut, however few bytes they have.
+PASSAGE_WORDS = 51
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,8 +41,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages that occur again anywhere are cut out; every document stays."""
-    return without_repeats(docs)
+    """Passages of PASSAGE_WORDS words, or of 400 bytes, that occur again anywhere are cut out; every document stays."""
+    return without_repeats(docs, words=PASSAGE_WORDS)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

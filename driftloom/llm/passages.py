@@ -1,0 +1,108 @@
+"""Repeated passages of words: sampled grams find candidates, hashes of whole windows decide them."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from driftloom.llm.common import mixed, powers, prefix_hash, span_hash, text_of, word_spans, written
+from driftloom.llm.suffix_dedup import _sliding
+
+#: Stands for a null id in keys; results follow from the text alone, so it may be an id as well.
+NO_ID = -(2**63)
+
+
+def _runs(words: np.ndarray, size: int) -> np.ndarray:
+    """The hash of every run of size words, from prefix sums."""
+    total = np.zeros(len(words) + 1, dtype=np.uint64)
+    np.cumsum(words * powers(len(words)), out=total[1:])
+    n = len(words) - size + 1
+    return mixed((total[size:] - total[:n]) * powers(n, inverse=True))
+
+
+def _hashed(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends and hashes of the words of a text."""
+    data = np.frombuffer(text.encode(), dtype=np.uint8)
+    start, end = word_spans(data)
+    return start, end, span_hash(prefix_hash(data), start, end) if len(start) else np.empty(0, np.uint64)
+
+
+def word_anchors(words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and hashes of the grams (just over half a window) that are the least of any window of size words.
+
+    Equal windows have the same anchors at the same places; on a tie all of the least are anchors.
+    """
+    gram = size // 2 + 1
+    width = size - gram + 1
+    if len(words) < size:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    raw = _runs(words, gram)
+    least = _sliding(raw, width, np.minimum, 2**64 - 1)
+    edge = np.zeros(width - 1, dtype=np.uint64)
+    at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum, 0) == raw)
+    return at, raw[at]
+
+
+def repeated_passages(docs: DataFrame, size: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Where every window of size words lies that starts anywhere else too, however it is spaced.
+
+    Each window holds an anchor (see word_anchors), and equal windows hold equal ones, so only
+    windows around anchors that occur twice can repeat. Those are hashed whole (128 bits) and
+    counted. Rows stay linear in the words; an anchor or window that very many documents share
+    is combined before the shuffle that counts it.
+
+    Defined cases: texts of fewer than size words, null and empty ones have none; rows repeated
+    with the same id are two places of their text; null ids have the key NO_ID.
+    Out, for each text with such windows: key, sig (a hash of the text), starts, ends (bytes).
+    """
+    text = text_of(text_col)
+    base = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    long = base.where(F.octet_length("text") >= 2 * size - 1)
+
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, place, name = [np.empty(0, np.int64)], [np.empty(0, np.int32)], [np.empty(0, np.uint64)]
+            for k, text in enumerate(batch["text"].to_pylist()):
+                at, h = word_anchors(_hashed(text)[2], size)
+                row.append(np.full(len(at), k))
+                place.append(at.astype(np.int32))
+                name.append(h)
+            row = pa.array(np.concatenate(row))
+            columns = [batch["key"].take(row), batch["sig"].take(row), pa.array(np.concatenate(place)), pa.array(np.concatenate(name).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "place", "h"])
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        gram = size // 2 + 1
+        for batch in batches:
+            row, begin, finish, one, two = [], [], [], [], []
+            for k, (text, places) in enumerate(zip(batch["text"].to_pylist(), batch["places"].to_pylist(), strict=True)):
+                start, end, words = _hashed(text)
+                n = len(words) - size + 1
+                edge = np.zeros(n + 1, dtype=np.int64)
+                at = np.array(places)
+                np.add.at(edge, np.maximum(at - (size - gram), 0), 1)
+                np.add.at(edge, np.minimum(at + 1, n), -1)
+                i = np.flatnonzero(np.cumsum(edge[:n]) > 0)
+                row.append(np.full(len(i), k))
+                begin.append(start[i])
+                finish.append(end[i + size - 1])
+                one.append(_runs(words, size)[i])
+                two.append(_runs(mixed(words), size)[i])
+            row = pa.array(np.concatenate(row))
+            columns = [batch["key"].take(row), batch["sig"].take(row)]
+            columns += [pa.array(np.concatenate(x)) for x in (begin, finish)]
+            columns += [pa.array(np.concatenate(x).view(np.int64)) for x in (one, two)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "sig", "start", "end", "a", "b"])
+
+    found = written(long.mapInArrow(anchored, "key long, sig long, place int, h long"), "passage_anchors")
+    often = found.join(found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("h"), "h")
+    listed = often.groupBy("key", "sig").agg(F.collect_set("place").alias("places"))
+    held = long.join(listed, ["key", "sig"])
+    whole = written(held.mapInArrow(windows, "key long, sig long, start long, end long, a long, b long"), "passage_windows")
+    twice = whole.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a", "b")
+    spans = whole.join(twice, ["a", "b"]).groupBy("key", "sig").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    return spans.select("key", "sig", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))

@@ -354,17 +354,28 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
 
 
-def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars") -> DataFrame:
+def without_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", words: int | None = None
+) -> DataFrame:
     """The documents with the repeated runs cut out of their texts; rows and columns stay.
 
-    A run is shortened to whole characters. Where chars_col is a column, it gets the new count
-    of characters of the texts that are cut. Null texts stay null. See repeated_spans.
+    A run is what strings of LENGTH bytes cover that start twice (see repeated_spans) and, with
+    words, what windows of so many words cover that do (see repeated_passages); both are found
+    in the whole texts. A run is shortened to whole characters. Where chars_col is a column, it
+    gets the new count of characters of the texts that are cut. Null texts stay null.
     """
-    spans = repeated_spans(docs, id_col, text_col).where("n_spans > 0")
-    spans = spans.select(F.col(id_col).alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
-    spans = spans.dropDuplicates(["__id", "__sig"])
+    from driftloom.llm.passages import NO_ID, repeated_passages
+
+    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
+    spans = repeated_spans(docs, id_col, text_col).where("n_spans > 0").select(key.alias("key"), "sig", "starts", "ends")
+    spans = spans.dropDuplicates(["key", "sig"])
+    if words:
+        both = spans.unionByName(repeated_passages(docs, words, id_col, text_col))
+        both = both.groupBy("key", "sig").agg(F.collect_list(F.struct("starts", "ends")).alias("runs"))
+        spans = both.select("key", "sig", F.flatten("runs.starts").alias("starts"), F.flatten("runs.ends").alias("ends"))
+    spans = spans.select(F.col("key").alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
     signed = docs.withColumn("__own", F.xxhash64(text_of(text_col)))
-    found = signed.join(spans, F.col(id_col).cast("long").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
+    found = signed.join(spans, (key == F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,7 +397,13 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def _cut_text(text: str, starts: list[int], ends: list[int]) -> str:
     data, at, parts = text.encode(), 0, []
-    for start, end in zip(starts, ends, strict=True):
+    runs: list[list[int]] = []
+    for start, end in sorted(zip(starts, ends, strict=True)):
+        if runs and start <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], end)
+        else:
+            runs.append([start, end])
+    for start, end in runs:
         while start < end and data[start] & 0xC0 == 0x80:
             start += 1
         while end > start and end < len(data) and data[end] & 0xC0 == 0x80:

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import os
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import common, exact_dedup, minhash, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_output, toxicity, warc
+from driftloom.llm import common, exact_dedup, minhash, packing, passages, quality, sentencepiece_codec, sharding, suffix_dedup, token_output, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, h string"
 
@@ -252,6 +253,43 @@ def test_cut_texts_keep_rows_columns_and_characters(spark):
     assert set(out[0]) == set(df.columns)
 
 
+def test_repeated_passages_equal_brute_force(spark):
+    rng = random.Random(31)
+    passage = words(rng, 40, 30).split()
+    texts = [None, "", " ".join(passage)]
+    for k in range(40):
+        cut = rng.randrange(25)
+        parts = words(rng, rng.randrange(30)).split() + passage[cut : cut + rng.randrange(18, 30)] + words(rng, rng.randrange(30)).split()
+        texts.append("é " * (k % 3) + rng.choice([" ", "  ", "\n"]).join(parts))
+    texts += [texts[-1], "a " * 40]
+    size, seen = 21, {}
+    for t in texts:
+        w = (t or "").split()
+        for i in range(len(w) - size + 1):
+            seen[tuple(w[i : i + size])] = seen.get(tuple(w[i : i + size]), 0) + 1
+    ids = [*range(len(texts) - 1), None]
+    got = {r["key"]: set(zip(r["starts"], r["ends"], strict=True)) for r in passages.repeated_passages(docs(spark, texts, ids), size).collect()}
+    for i, t in enumerate(texts):
+        spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
+        w = (t or "").split()
+        expected = {(spans[k][0], spans[k + size - 1][1]) for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1}
+        assert got.get(passages.NO_ID if ids[i] is None else i, set()) == expected, i
+
+
+def test_pipeline_cuts_passages_of_over_50_words(spark):
+    import corpus_pipeline
+
+    rng = random.Random(32)
+    letters = lambda n: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    short, just, many = letters(50), letters(51), words(rng, 60, 1000)  # 99, 101 and below 400 bytes
+    assert len(many) < 400
+    texts = [f"{words(rng, 40, 9**6)} {p} {words(rng, 40, 9**6)}" for p in (short, short, just, just, many, many)]
+    out = collect(corpus_pipeline.suffix_stage(spark, docs(spark, texts).withColumn("n_chars", F.length("text").cast("long")), ""))
+    for i, t in enumerate(texts):
+        assert out[i]["text"] == (t if i < 2 else t.replace(just if i < 4 else many, "")), i
+        assert out[i]["n_chars"] == len(out[i]["text"])
+
+
 # -- packing -------------------------------------------------------------------------------------------------
 
 
