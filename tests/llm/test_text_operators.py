@@ -155,6 +155,19 @@ def test_quality_counts_and_bands(spark):
     assert got[len(texts) - 1]["kept"]
 
 
+def test_quality_rejects_symbol_junk_and_keeps_clean_text(spark):
+    data = "/root/testdata/sf0.01"
+    rows = spark.read.parquet(f"{data}/documents.parquet")
+    labels = spark.read.parquet(f"{data}/labels.parquet").select("doc_id", "quality")
+    judged = quality.quality(rows, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    judged = judged.where("not base_failed").join(labels, "doc_id").join(rows.select("doc_id", "text"), "doc_id").collect()
+    marked = lambda t: np.mean([any(c in w for c in "#*$%&|<>") for w in t.split()]) >= 0.3
+    junk = [r["kept"] for r in judged if r["quality"] == 0 and marked(r["text"])]
+    clean = [r["kept"] for r in judged if r["quality"] == 1]
+    assert len(junk) >= 20 and np.mean(junk) <= 0.1
+    assert len(clean) >= 200 and np.mean(clean) >= 0.98
+
+
 # -- near duplicates -----------------------------------------------------------------------------------
 
 
