@@ -1,15 +1,17 @@
 """The text pipeline: quality rules, exact and near duplicates, repeated passages, packing.
 
 Each stage works on all that its predecessor kept. Stages take (spark, docs, sf_dir); all but
-the last return the columns of documents. Ids are taken to name one text each.
+the last return the columns of documents. Rows may repeat, ids may be null or name several
+texts: of every group of copies exactly one row stays.
 """
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from driftloom.llm.common import written
+from driftloom.llm.common import SPACE, text_of, written
 from driftloom.llm.exact_dedup import exact_dedup
 from driftloom.llm.minhash import near_duplicates
 from driftloom.llm.packing import pack_documents
@@ -29,15 +31,34 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts, the row of the smallest id stays."""
-    dropped = exact_dedup(docs).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of equal texts one row stays: the smallest id's, a null id's only where no other has the text."""
+    own = F.sha2(F.regexp_replace(text_of("text"), SPACE, " "), 256)
+    marks = written(exact_dedup(docs).where("group_size > 1").groupBy("doc_id", "text_sha256", "kept").count(), "copies_marked")
+    marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "count")
+    signed = docs.withColumn("__own", own)
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
+    once = signed.join(marks.where("not kept or count > 1"), same, "left_anti").select(docs.columns)
+    repeated = marks.where("kept and count > 1")
+    if repeated.isEmpty():  # the usual case, without moving the texts once more
+        return once
+    again = signed.join(repeated, same, "left_semi").groupBy("doc_id", "__own").agg(F.min(F.struct(*docs.columns)).alias("row"))
+    return once.unionByName(again.select("row.*"))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of every group of near duplicates, the document of the smallest id stays."""
-    dropped = near_duplicates(docs, percent=SIMILARITY).where("not kept").select("doc_id")
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """Of every group of near duplicates one row stays: the smallest id's, a null id's only where there is no other.
+
+    near_duplicates links ids. Where ids do not tell the rows apart (some are null or occur
+    again), rows are numbered in the order of their ids, and the numbers are linked.
+    """
+    shared = docs.groupBy("doc_id").count().where("doc_id is null or count > 1")
+    if shared.isEmpty():
+        rows = docs.withColumn("__row", F.col("doc_id").cast("long"))
+    else:
+        order = F.col("doc_id").asc_nulls_last(), F.sha2(text_of("text"), 256)
+        rows = written(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    dropped = near_duplicates(rows, percent=SIMILARITY, id_col="__row").where("not kept").select("__row")
+    return rows.join(dropped, "__row", "left_anti").select(docs.columns)
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -432,3 +432,34 @@ def test_pipeline_stages(spark):
     assert cut[3]["text"] == b and shared not in cut[7]["text"] and len(cut[7]["text"]) > 300
     out = corpus_pipeline.STAGES[-1][1](spark, rows, "")
     assert out.count() == 4
+
+
+def test_pipeline_keeps_one_row_of_copies_with_shared_and_null_ids(spark):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    parts = "the and ing tion ent ation for tha her ter hat ere ate his con res ver all ons nce men ith ted ers".split()
+    body = lambda: " ".join("".join(rng.choice(parts) for _ in range(rng.randrange(1, 4))) for _ in range(100))
+    a, b, c, d, e, f = (body() for _ in range(6))
+
+    def near(t):
+        w = t.split()
+        w[60] = "other"
+        return " ".join(w)
+
+    rows = [
+        (1, a), (1, a), (1, a.replace(" ", "  ")),  # a repeated row, and the same with other spaces
+        (2, b), (None, b), (None, near(b)),  # a copy and a near copy without ids
+        (None, c), (None, c), (None, near(c)),  # copies and a near copy that have no id at all
+        (5, d), (6, d), (6, e),  # one id, two texts, one of them a copy
+        (7, f), (8, near(f)), (8, near(f)),
+    ]
+    out = docs(spark, [t for _, t in rows], [i for i, _ in rows]).select("doc_id", "text", "lang", "source", "n_chars")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = common.written(stage(spark, out, ""), name)
+        assert name != "quality" or out.count() == len(rows)
+    got = [(r["doc_id"], r["text"]) for r in out.collect()]
+    assert sorted(i or 0 for i, _ in got) == [0, 1, 2, 5, 6, 7]
+    texts = dict(got)
+    assert " ".join(texts[1].split()) == a and texts[2] == b and texts[None] in (c, near(c)) and (texts[5], texts[6], texts[7]) == (d, e, f)
+    assert corpus_pipeline.packing_stage(spark, out, "").count() == 6
