@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
 import uuid
 
@@ -71,16 +72,47 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums of byte values times powers; length n + 1."""
+    """Prefix sums of byte values times powers modulo 2**64; length n + 1. Chooses places, decides no equality."""
     out = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum(BYTE_VALUE[data] * powers(len(data)), out=out[1:])
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each byte span [start, end), equal for equal bytes wherever they stand."""
-    raw = (prefix[end] - prefix[start]) * powers(len(prefix), inverse=True)[start]
-    return mixed(raw ^ (end - start).astype(np.uint64))
+# Fingerprints: polynomials modulo the prime 2**31 - 1 in four random bases. Two different strings of
+# n bytes agree in all four with a probability of at most (n / 2**31) ** 4, whatever the strings.
+PRIME = np.uint64(2**31 - 1)
+_BASES = [int(x) for x in np.random.Generator(np.random.PCG64(0xF1D0)).integers(2**20, 2**31 - 2, size=4)]
+#: Bytes that are fingerprinted together at most; their sums stay below 2**64.
+BLOCK = 1 << 21
+_TABLES: list[tuple[np.ndarray, np.ndarray]] = []
+
+
+def _tables() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each base its powers and those of its inverse, BLOCK long, by repeated doubling."""
+    if not _TABLES:
+        for base in _BASES:
+            pair = []
+            for b in (base, pow(base, -1, int(PRIME))):
+                out = np.ones(BLOCK, dtype=np.uint64)
+                have = 1
+                while have < BLOCK:
+                    out[have : 2 * have] = out[:have] * np.uint64(pow(b, have, int(PRIME))) % PRIME
+                    have *= 2
+                pair.append(out)
+            _TABLES.append((pair[0], pair[1]))
+    return _TABLES
+
+
+def fingerprints(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """124 bits in two arrays for each byte span [start, end) of at most BLOCK bytes of data."""
+    out = []
+    plus = data.astype(np.uint64) + np.uint64(1)
+    for power, inverse in _tables():
+        sums = np.zeros(len(data) + 1, dtype=np.uint64)
+        np.cumsum(plus * power[: len(data)], out=sums[1:])
+        out.append((sums[end] - sums[start]) % PRIME * inverse[np.minimum(start, BLOCK - 1)] % PRIME)
+    two = np.uint64(31)
+    return (out[0] << two) | out[1], (out[2] << two) | out[3]
 
 
 SPACE_BYTE = np.zeros(256, dtype=bool)
@@ -95,6 +127,26 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+#: Longer words are hashed one by one.
+LONG_WORD = 4096
+
+
+def hashes_of_words(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64 bits for each word: folded fingerprints, a keyed digest for very long words."""
+    out = np.empty(len(start), dtype=np.uint64)
+    short = np.flatnonzero(end - start <= LONG_WORD)
+    for i in np.flatnonzero(end - start > LONG_WORD).tolist():
+        digest = hashlib.blake2b(data[start[i] : end[i]].tobytes(), digest_size=8, key=b"words").digest()
+        out[i] = int.from_bytes(digest, "little")
+    at = 0
+    while at < len(short):
+        low = start[short[at]]
+        stop = max(at + 1, int(np.searchsorted(end[short], low + BLOCK, "right")))
+        own = short[at:stop]
+        a, b = fingerprints(data[low : end[own[-1]]], start[own] - low, end[own] - low)
+        out[own] = mixed(a + mixed(b + np.uint64(1)))
+        at = stop
+    return out
 
 
 def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
@@ -103,7 +155,7 @@ def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
     if lower:
         data = LOWER[data]
     start, end = word_spans(data)
-    return span_hash(prefix_hash(data), start, end) if len(start) else np.empty(0, np.uint64)
+    return hashes_of_words(data, start, end) if len(start) else np.empty(0, np.uint64)
 
 
 def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -113,5 +165,5 @@ def shingle_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = min(size, len(words))
     total = np.zeros(len(words) - n + 1, dtype=np.uint64)
     for k in range(n):
-        total = total * BASE + words[k : len(words) - n + 1 + k]
-    return mixed(total ^ np.uint64(n))
+        total = mixed(total * BASE + words[k : len(words) - n + 1 + k] + np.uint64(n))
+    return total

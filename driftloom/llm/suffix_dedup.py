@@ -1,348 +1,491 @@
-"""Repeated substrings: exact anchors bring equal stretches together, suffix arrays decide them."""
+"""Repeated strings of bytes or words: shared anchors bring candidates together, suffix arrays decide."""
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import mixed, powers, prefix_hash, span_hash, text_of, written
-
-#: A string of LENGTH bytes that starts twice is removed. Anchors are strings of ANCHOR bytes; the
-#: context of an anchor holds all strings of LENGTH bytes around it, in CLASSES of STEP + 1 starts.
-LENGTH, STEP, CLASSES = 400, 24, 5
-ANCHOR, GRAM = LENGTH - STEP * CLASSES, LENGTH - STEP
-FULL = (1 << (STEP + 1)) - 1
-#: Stretches of a unit that one suffix array is built on; greater units are decided start by start.
-UNIT_STRINGS = 20_000
-
-
-# -- suffix array by linear grouping ---------------------------------------------------------
+from driftloom.llm.common import BLOCK, fingerprints, hashes_of_words, mixed, powers, prefix_hash, text_of, word_spans, written
+from driftloom.llm.linear_grouping import suffix_array, suffix_arrays
+
+#: A string of so many bytes that starts twice is removed.
+LENGTH = 400
+#: Starts of a text that are looked at together, so that very long texts take bounded memory.
+CHUNK = 1 << 20
+#: Contexts in a unit; greater units are cut by SPANS starts, until none is greater.
+UNIT_CONTEXTS, SPANS = 256, (24, 4, 1)
+#: Symbols whose arrays are built in step, and the fewest texts for which that pays.
+STEP_SYMBOLS, STEP_TEXTS = 1_200_000, 8
+#: Stands for a null id in keys; results follow from the text alone, so it may be an id as well.
+NO_ID = -(2**63)
+
+
+@dataclass(frozen=True)
+class Kind:
+    """Strings of `length` bytes, or of as many words however they are spaced."""
+
+    length: int = LENGTH
+    words: bool = False
+
+    @property
+    def gram(self) -> int:
+        return max(1, self.length // 4)
+
+
+@dataclass(frozen=True)
+class Tokens:
+    """A text as tokens: data holds them (words joined by single spaces), first and last their bytes in the text."""
+
+    data: np.ndarray
+    begin: np.ndarray | None
+    end: np.ndarray | None
+    first: np.ndarray | None
+    last: np.ndarray | None
+    hashes: np.ndarray | None
+
+    @classmethod
+    def of(cls, text: str, kind: Kind) -> Tokens:
+        data = np.frombuffer(text.encode(), dtype=np.uint8)
+        if not kind.words:
+            return cls(data, None, None, None, None, None)
+        first, last = word_spans(data)
+        end = np.cumsum(last - first + 1) - 1
+        begin = end - (last - first)
+        joined = np.frombuffer(b" ".join(data.tobytes().split()), dtype=np.uint8)
+        return cls(joined, begin, end, first, last, hashes_of_words(data, first, last))
+
+    def __len__(self) -> int:
+        return len(self.data if self.begin is None else self.begin)
+
+    def bytes_at(self, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the tokens [low, high) begin and end in data."""
+        return (low, high) if self.begin is None else (self.begin[low], self.end[high - 1])
+
+
+def _sliding_least(values: np.ndarray, width: int) -> np.ndarray:
+    """The least of every `width` neighbours, from running minima inside blocks of that width."""
+    blocks = np.concatenate((values, np.full(-len(values) % width, 2**64 - 1, dtype=np.uint64))).reshape(-1, width)
+    forth = np.minimum.accumulate(blocks, axis=1).ravel()
+    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    n = len(values) - width + 1
+    return np.minimum(back[:n], forth[width - 1 : width - 1 + n])
 
 
-def suffix_array(text: list[int]) -> list[int]:
-    """The starts of the suffixes of text in ascending order; its last symbol is its only smallest one.
+def anchors(tokens: Tokens, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
+    """For each chunk of a text: lo, hi, anchor, h, a, b of every context.
 
-    Suffixes are grouped by their first symbol, and groups are processed in descending order.
-    For each member the pointer to the nearest earlier suffix of a smaller group is found; that
-    suffix is the member's prefix followed by this group's, so it moves to a new group just
-    above its old one (above that again if several members point to it). At the end a group holds
-    the suffixes of one Lyndon prefix. One ascending pass then emits the order inside the groups:
-    the suffix before each emitted one, and what its pointers lead to, take the next places of
-    their groups. Nothing is renamed and nothing recursive is solved.
+    A string's anchor is the leftmost of its grams (a quarter of its length) with the least
+    hash, so equal strings have equal anchors at the same place. A context holds the strings that
+    start from lo to hi, neighbours with one anchor; a and b are its fingerprints. On periodic text
+    contexts are many, but few different ones.
     """
-    n = len(text)
-    order = sorted(range(n), key=text.__getitem__)
-    place, start, size = [0] * n, [0] * n, [0] * (n + 1)
-    first = 0
-    for k, i in enumerate(order):
-        if text[i] != text[order[first]]:
-            first = k
-        place[i], start[i] = k, first
-        size[first] += 1
-    smaller = list(range(-1, n - 1))
-    end = n
-    while end > 0:
-        group = start[order[end - 1]]
-        pointed: dict[int, int] = {}
-        for i in order[group:end]:
-            p = smaller[i]
-            while p >= 0 and start[p] >= group:
-                p = smaller[p]
-            smaller[i] = p
-            if p >= 0:
-                pointed[p] = pointed.get(p, 0) + 1
-        if pointed:
-            times = set(pointed.values())
-            for k in sorted(times, reverse=True):
-                moved = [p for p, t in pointed.items() if t == k] if len(times) > 1 else list(pointed)
-                for p in moved:  # to the upper end of its group
-                    old = start[p]
-                    size[old] -= 1
-                    to, at = old + size[old], place[p]
-                    other = order[to]
-                    order[to], order[at] = p, other
-                    place[p], place[other] = to, at
-                above = [start[p] + size[start[p]] for p in moved]
-                for p, new in zip(moved, above, strict=True):
-                    start[p] = new
-                    size[new] += 1
-        end = group
-    free = list(range(n))  # by the first place of a group: the next place to fill
-    done = [False] * n
-    out = [-1] * n
-    out[0] = n - 1
-    done[n - 1] = True
-    for i in range(n):
-        p = out[i] - 1
-        while p >= 0 and not done[p]:
-            group = start[p]
-            out[free[group]] = p
-            free[group] += 1
-            done[p] = True
-            p = smaller[p]
-    return out
-
-
-def repeated_starts(strings: list[tuple[int, bytes, int]]) -> list[int]:
-    """For every stretch the mask of starts whose string of LENGTH bytes another place has too.
-
-    A stretch is (n, the n bytes before the gram and the bytes after it, how many places have
-    it); the gram, GRAM bytes that all stretches of a unit share, is one symbol. Bit j stands for
-    the string that begins j bytes before the gram. In the suffix array of the stretches the
-    suffixes of equal such strings are neighbours: they agree in STEP + 1 symbols.
-    """
-    text: list[int] = []
-    begin = []
-    for n, around, _ in strings:
-        begin.append(len(text) + n)
-        text.extend([b + 1 for b in around[:n]])
-        text.append(257)
-        text.extend([b + 1 for b in around[n:]])
-        text.append(258)
-    owner = {}
-    masks = [0] * len(strings)
-    for k, (n, around, places) in enumerate(strings):
-        least = max(0, STEP - (len(around) - n))
-        if places > 1:
-            masks[k] = (1 << (n + 1)) - (1 << least) if n >= least else 0
-        for j in range(least, n + 1):
-            owner[begin[k] - j] = k, j
-    if all(places > 1 for _, _, places in strings):
-        return masks
-    text.append(0)
-    before, last = None, None
-    for i in suffix_array(text):
-        at = owner.get(i)
-        if at is None:
+    gram, n = kind.gram, len(tokens) - kind.length + 1
+    width = kind.length - gram + 1
+    for at in range(0, max(0, n), CHUNK):
+        starts = min(CHUNK, n - at)
+        stop = at + starts + kind.length - 1
+        if tokens.hashes is None:
+            prefix = prefix_hash(tokens.data[at:stop])
+        else:
+            prefix = np.zeros(stop - at + 1, dtype=np.uint64)
+            np.cumsum(tokens.hashes[at:stop] * powers(stop - at), out=prefix[1:])
+        m = stop - at - gram + 1
+        raw = mixed((prefix[gram:] - prefix[:m]) * powers(m, inverse=True))
+        least = _sliding_least(raw, width)
+        turn = np.concatenate(([True], (least[1:] != least[:-1]) | (raw[: starts - 1] == least[:-1])))
+        lo = np.flatnonzero(turn)
+        hi = np.append(lo[1:], starts) - 1
+        h = least[lo]
+        place = lo + width - 1  # a lesser hash that has just come in, or the leftmost of the least
+        gone = np.flatnonzero(np.concatenate(([True], h[1:] >= h[:-1])))
+        for i in range(0, len(gone), 4096):
+            own = gone[i : i + 4096]
+            place[own] = lo[own] + np.lib.stride_tricks.sliding_window_view(raw, width)[lo[own]].argmin(axis=1)
+        lo, hi, place = lo + at, hi + at, place + at
+        a, b = _prints(tokens, lo, hi + kind.length)
+        yield lo, hi, place, h.view(np.int64), a, b
+
+
+def _prints(tokens: Tokens, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints of the tokens [low, high) as signed integers; spans too long for one block take a digest."""
+    begin, end = tokens.bytes_at(low, high)
+    a, b = np.empty(len(low), np.int64), np.empty(len(low), np.int64)
+    at = 0
+    while at < len(low):
+        first = int(begin[at])
+        stop = int(np.searchsorted(end, first + BLOCK, "right"))
+        if stop <= at:
+            digest = hashlib.blake2b(tokens.data[first : end[at]].tobytes(), digest_size=16, key=b"strings").digest()
+            a[at], b[at] = np.frombuffer(digest, dtype="<i8")
+            at += 1
             continue
-        now = text[i : i + STEP + 1]
-        if now == before:
-            masks[at[0]] |= 1 << at[1]
-            masks[last[0]] |= 1 << last[1]
-        before, last = now, at
-    return masks
+        own = slice(at, stop)
+        x, y = fingerprints(tokens.data[first : end[stop - 1]], begin[own] - first, end[own] - first)
+        a[own], b[own] = x.view(np.int64), y.view(np.int64)
+        at = stop
+    return a, b
 
 
-# -- anchors ------------------------------------------------------------------------------------
+# -- what runs in the workers -------------------------------------------------------------------
 
+_CONTEXT = "key long, sig long, h long, a long, b long, n short"
+_PIECE = "h long, a long, b long, at int, unit long, pa long, pb long, lead int, starts int, n short, body binary"
 
-def _sliding(values: np.ndarray, width: int, best: np.ufunc, rest: int) -> np.ndarray:
-    """The best of every `width` neighbours, from running bests inside blocks of that width."""
-    blocks = np.concatenate((values, np.full(-len(values) % width, rest, dtype=np.uint64))).reshape(-1, width)
-    forth = best.accumulate(blocks, axis=1).ravel()
-    back = best.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    n = len(values) - width + 1
-    return best(back[:n], forth[width - 1 : width - 1 + n])
 
+def _batch(columns: list, schema: str) -> pa.RecordBatch:
+    types = {"long": pa.int64(), "int": pa.int32(), "short": pa.int16(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
+    fields = [f.strip().split(" ") for f in schema.split(",")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
 
-def anchors(prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places and hashes of a text's anchors.
 
-    Every string of LENGTH bytes holds LENGTH - ANCHOR + 1 strings of ANCHOR bytes; those of the
-    smallest hash (all of them on a tie) are anchors. Equal strings have the same anchors.
+def _contexts_of(kind: Kind):
+    """The different contexts of every text, with the number of their places, two at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
+            times = [np.empty(0, np.int16)]
+            for k, text in enumerate(batch["text"].to_pylist()):
+                found = [part[3:] for part in anchors(Tokens.of(text, kind), kind)]
+                if not found:
+                    continue
+                h, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                _, first, back, n = np.unique(a ^ mixed(h.view(np.uint64)).view(np.int64), return_index=True, return_inverse=True, return_counts=True)
+                if len(first) < len(h) and ((b != b[first][back]) | (a != a[first][back])).any():
+                    whole = np.stack((h, a, b), axis=1)
+                    _, first, n = np.unique(whole, axis=0, return_index=True, return_counts=True)
+                for column, values in zip(rows, (np.full(len(first), k), h[first], a[first], b[first]), strict=True):
+                    column.append(values)
+                times.append(np.minimum(n, 2).astype(np.int16))
+            row, h, a, b = (pa.array(np.concatenate(x)) for x in rows)
+            yield pa.RecordBatch.from_arrays([batch["key"].take(row), batch["sig"].take(row), h, a, b, pa.array(np.concatenate(times))], ["key", "sig", "h", "a", "b", "n"])
+
+    return run
+
+
+def _pieces_of(kind: Kind, span: int | None):
+    """The bytes of the contexts that a text stands for; with span, cut into pieces of so many starts.
+
+    Pieces are cut at fixed distances from the anchor, and their unit is named by what all
+    strings of that distance hold, so equal strings meet in one unit again.
     """
-    n, width = len(prefix) - ANCHOR, LENGTH - ANCHOR + 1
-    if n < width:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    raw = (prefix[ANCHOR:] - prefix[:n]) * powers(n, inverse=True)
-    raw ^= raw >> np.uint64(31)
-    least = _sliding(raw, width, np.minimum, 2**64 - 1)
-    edge = np.zeros(width - 1, dtype=np.uint64)
-    at = np.flatnonzero(_sliding(np.concatenate((edge, least, edge)), width, np.maximum, 0) == raw)
-    return at, mixed(raw[at])
-
-
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        row, place, name, context = [], [], [], []
-        for k, text in enumerate(batch["text"].to_pylist()):
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
-            if len(data) < LENGTH:
-                continue
-            prefix = prefix_hash(data)
-            at, h = anchors(prefix)
-            low, high = np.maximum(at - (LENGTH - ANCHOR), 0), np.minimum(at + LENGTH, len(data))
-            row.append(np.full(len(at), k))
-            place.append(at.astype(np.int32))
-            name.append(h)
-            context.append(span_hash(prefix, low, high) + (at - low).astype(np.uint64))
-        if row:
-            row = pa.array(np.concatenate(row))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch["doc_id"].take(row),
-                    batch["sig"].take(row),
-                    pa.array(np.concatenate(place)),
-                    pa.array(np.concatenate(name).view(np.int64)),
-                    pa.array(np.concatenate(context).view(np.int64)),
-                ],
-                ["doc_id", "sig", "place", "h", "c"],
-            )
-
-
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The stretches of the contexts that this document stands for."""
-    names = ["h", "c", "k", "gram", "n_left", "around", "places", "s"]
-    kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
-    for batch in batches:
-        rows = []
-        for text, found in zip(batch["text"].to_pylist(), batch["found"].to_pylist(), strict=True):
-            found = [f for f in found if f["asks"]]
-            if not found:
-                continue
-            data = text.encode()
-            prefix = prefix_hash(np.frombuffer(data, dtype=np.uint8))
-            at = (np.array([f["place"] for f in found])[:, None] - STEP * np.arange(CLASSES)).ravel()
-            inside = (at >= 0) & (at + GRAM <= len(data))
-            gram = np.zeros(len(at), dtype=np.uint64)
-            gram[inside] = span_hash(prefix, at[inside], at[inside] + GRAM)
-            low, high = np.maximum(at - STEP, 0), np.minimum(at + LENGTH, len(data))
-            whole = np.zeros(len(at), dtype=np.uint64)
-            whole[inside] = span_hash(prefix, low[inside], high[inside]) + (at - low)[inside].astype(np.uint64)
-            for i in np.flatnonzero(inside).tolist():
-                f, p = found[i // CLASSES], int(at[i])
-                left = data[max(0, p - STEP) : p]
-                around = left + data[p + GRAM : p + LENGTH]
-                rows.append((f["h"], f["c"], i % CLASSES, int(gram[i].view(np.int64)), len(left), around, f["places"], int(whole[i].view(np.int64))))
-        columns = list(zip(*rows, strict=True)) or [[]] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
-
-
-_UNIT = ["h", "k", "gram"]
-
-
-def _decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a unit stand together; a mask for each of its stretches."""
-    now, held = None, []
-    schema = pa.schema([("h", pa.int64()), ("k", pa.int32()), ("s", pa.int64()), ("mask", pa.int32())])
-
-    def close() -> list[tuple]:
-        masks = repeated_starts([stretch for _, stretch in held]) if held else []
-        return [(now[0], now[1], s, m) for (s, _), m in zip(held, masks, strict=True) if m]
-
-    def table(rows: list[tuple]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
-
-    for batch in batches:
-        done = []
-        unit = list(zip(*(batch[u].to_pylist() for u in _UNIT), strict=True))
-        for key, s, n, around, places in zip(unit, *(batch[c].to_pylist() for c in ("s", "n_left", "around", "places")), strict=True):
-            if key != now:
-                done += close()
-                now, held = key, []
-            held.append((s, (n, around, places)))
-        yield table(done)
-    yield table(close())
-
-
-def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Remove what the found strings cover from every text."""
-    names = ["doc_id", "sig", "n_removed", "n_spans", "kept_sha256", "starts", "ends"]
-    for batch in batches:
-        removed, spans, digest, begins, ends = [], [], [], [], []
-        for text, whole, parts in zip(*(batch[c].to_pylist() for c in ("text", "whole", "parts")), strict=True):
-            data = np.frombuffer(text.encode(), dtype=np.uint8)
-            start = np.zeros(len(data) - LENGTH + 1, dtype=bool)
-            for place in whole:
-                start[max(0, place - (LENGTH - ANCHOR)) : place + 1] = True
-            for f in parts or []:
-                for m in f["masks"]:
-                    p = f["place"] - STEP * m["k"]
-                    start[[p - j for j in range(STEP + 1) if m["mask"] >> j & 1]] = True
-            at = np.flatnonzero(start)
-            edge = np.zeros(len(data) + 1, dtype=np.int64)
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + LENGTH, -1)
-            gone = np.cumsum(edge[:-1]) > 0
-            turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-            removed.append(int(gone.sum()))
-            spans.append(len(turn) // 2)
-            digest.append(hashlib.sha256(data[~gone].tobytes()).hexdigest())
-            begins.append(turn[0::2])
-            ends.append(turn[1::2])
-        lists = [pa.array(x, pa.list_(pa.int64())) for x in (begins, ends)]
-        arrays = [batch["doc_id"], batch["sig"], pa.array(removed, pa.int64()), pa.array(spans, pa.int64()), pa.array(digest, pa.string()), *lists]
-        yield pa.RecordBatch.from_arrays(arrays, names)
-
-
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Find every byte that a string of LENGTH bytes covers which also starts anywhere else.
-
-    1. Each text's anchors are found (see anchors): of two equal strings of LENGTH bytes, both
-       have the same anchor at the same place. Only an anchor's hash, the hash of its context
-       and its place move; anchors whose hash occurs once are dropped, counted before the join.
-    2. Equal contexts are one, with the number of its places. A context that occurs twice is
-       repeated as a whole.
-    3. The other contexts are cut into stretches by GRAM-byte grams around the anchor, a unit
-       being the stretches that share a gram. Alone in its unit a stretch has no partner. The
-       others go through a suffix array by linear grouping (see suffix_array, repeated_starts).
-    4. A unit of over UNIT_STRINGS different stretches (a passage that very many documents
-       share, in different surroundings) is counted start by start instead, combined before the
-       shuffle, so no task ever holds an unbounded unit.
-    5. The found strings come back to their documents, which cuts what they cover.
-
-    Defined cases: null and empty texts, and those below LENGTH bytes, lose nothing; rows
-    repeated with the same id are two places of their text; null ids are one id among others;
-    an empty table gives none; extra columns are ignored.
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
+                wanted = {(x["h"], x["a"], x["b"]): x["n"] for x in asked}
+                tokens = Tokens.of(text, kind)
+                for lo, hi, place, h, a, b in anchors(tokens, kind):
+                    for i in np.flatnonzero(np.isin(h, np.fromiter((w[0] for w in wanted), np.int64, len(wanted)))).tolist():
+                        own = int(h[i]), int(a[i]), int(b[i])
+                        n = wanted.pop(own, None)
+                        if n is None:
+                            continue
+                        first, last, anchor = int(lo[i]), int(hi[i]), int(place[i])
+                        if span is None:
+                            s, e = tokens.bytes_at(np.array([first]), np.array([last + kind.length]))
+                            rows.append((*own, 0, *own, anchor - first, last - first + 1, n, tokens.data[s[0] : e[0]].tobytes()))
+                            continue
+                        at = first
+                        while at <= last:
+                            part = (anchor - at) // span
+                            stop = min(last, anchor - part * span)
+                            s, e = (x[0] for x in tokens.bytes_at(np.array([at]), np.array([stop + kind.length])))
+                            # what every string of this distance from the anchor holds
+                            low, high = anchor - part * span, anchor - part * span - span + 1 + kind.length
+                            cs, ce = (x[0] for x in tokens.bytes_at(np.array([low]), np.array([high])))
+                            body = tokens.data[s:e].tobytes()
+                            core = hashlib.blake2b(tokens.data[cs:ce].tobytes(), digest_size=8, salt=b"core", key=b"%d %d" % (own[0], part)).digest()
+                            unit = int.from_bytes(core, "little", signed=True)
+                            pa_, pb_ = np.frombuffer(hashlib.blake2b(body, digest_size=16, key=b"%d" % (stop - at)).digest(), dtype="<i8").tolist()
+                            rows.append((*own, at - first, unit, pa_, pb_, anchor - at, stop - at + 1, n, body))
+                            at = stop + 1
+            yield _batch(list(zip(*rows, strict=True)) or [[]] * 11, _PIECE)
+
+    return run
+
+
+def _symbols(bodies: list[bytes], kind: Kind, names: dict[bytes, int]) -> list[np.ndarray]:
+    """The tokens of every body as integers from 2 on; words are named exactly."""
+    if not kind.words:
+        return [np.frombuffer(b, dtype=np.uint8).astype(np.int64) + 2 for b in bodies]
+    return [np.array([names.setdefault(w, len(names) + 300) for w in b.split(b" ")], dtype=np.int64) for b in bodies]
+
+
+_GAP, _END = np.array([1]), np.array([0])
+
+
+def _unit_text(kind: Kind, contexts: list[tuple[int, int, int, np.ndarray]]) -> tuple[np.ndarray, list[int], int, int]:
+    """The text of a unit, where its contexts begin, and the tokens before and in their core.
+
+    contexts: lead (tokens before the anchor), starts, n, symbols. All strings of a unit hold its
+    core, the tokens from the last start to the first end; the core is one symbol, named by its
+    content, so contexts with other bytes there have another symbol.
+    """
+    before = min(lead - starts + 1 for lead, starts, _, _ in contexts)  # from the core to the anchor
+    size = kind.length - max(lead for lead, _, _, _ in contexts) + before
+    cores: dict[bytes, int] = {}
+    parts, begins, at = [], [], 0
+    for lead, _, _, symbols in contexts:
+        cut = lead - before
+        core = symbols[cut : cut + size]
+        name = 2**31 + cores.setdefault(core.tobytes(), len(cores))
+        parts += [symbols[:cut], np.array([name]), symbols[cut + size :], _GAP]
+        begins.append(at)
+        at += len(symbols) - size + 2
+    parts.append(_END)
+    return np.concatenate(parts), begins, before, size
+
+
+def _common(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many leading columns agree in every row."""
+    differ = left != right
+    return np.where(differ.any(axis=1), differ.argmax(axis=1), left.shape[1])
+
+
+def repeated_masks(units: list[list[tuple[int, int, int, np.ndarray]]], kind: Kind) -> list[list[np.ndarray]]:
+    """For every context of every unit the starts whose string another place has too.
+
+    One suffix array is built over the text of each unit by linear grouping. A context that n
+    places have counts n times there, so each of its suffixes has n equals. Suffixes that begin
+    with equal strings are neighbours in the array; neighbours are compared symbol by symbol.
+    """
+    texts = [_unit_text(kind, u) for u in units]
+    # a string that one place alone has could only equal itself
+    order = sorted((i for i, u in enumerate(units) if sum(n for _, _, n, _ in u) > 1), key=lambda i: len(texts[i][0]))
+    arrays: dict[int, np.ndarray] = {}
+    at = 0
+    while at < len(order):
+        stop, held = at, 0
+        while stop < len(order) and (stop == at or held + len(texts[order[stop]][0]) <= STEP_SYMBOLS) and stop - at < 2**16:
+            held += len(texts[order[stop]][0])
+            stop += 1
+        own = order[at:stop]
+        if len(own) < STEP_TEXTS:
+            for i in own:
+                arrays[i] = np.array(suffix_array(texts[i][0].tolist()))
+        else:
+            ends = np.cumsum([len(texts[i][0]) for i in own])
+            whole = suffix_arrays(np.concatenate([texts[i][0] for i in own]), ends)
+            for i, begin, end in zip(own, np.concatenate(([0], ends[:-1])), ends, strict=True):
+                arrays[i] = whole[begin:end] - begin
+        at = stop
+    none = lambda u: [np.zeros(starts, dtype=bool) for _, starts, _, _ in u]
+    return [_neighbours(kind, u, *texts[i], arrays[i]) if i in arrays else none(u) for i, u in enumerate(units)]
+
+
+def _neighbours(kind: Kind, contexts: list, text: np.ndarray, begins: list[int], before: int, size: int, array: np.ndarray) -> list[np.ndarray]:
+    masks = [np.full(starts, n > 1) for _, starts, n, _ in contexts]
+    if len(contexts) == 1:
+        return masks
+    owner = np.full(len(text), -1, dtype=np.int64)
+    ahead = np.zeros(len(text), dtype=np.int64)  # tokens from a start to the core
+    for k, ((lead, starts, _, _), begin) in enumerate(zip(contexts, begins, strict=True)):
+        owner[begin : begin + starts] = k
+        ahead[begin : begin + starts] = lead - before - np.arange(starts)
+    array = array[owner[array] >= 0]
+    x, y = array[:-1], array[1:]
+    near = ahead[x] == ahead[y]
+    x, y = x[near], y[near]
+    if not len(x):
+        return masks
+    longest = max(lead - before for lead, _, _, _ in contexts)
+    wide = kind.length - size
+    left, core, right = np.zeros((len(contexts), max(longest, 1)), np.int64), np.zeros(len(contexts), np.int64), np.zeros((len(contexts), max(wide, 1)), np.int64)
+    for k, ((lead, _, _, symbols), begin) in enumerate(zip(contexts, begins, strict=True)):
+        cut = lead - before
+        left[k, :cut] = text[begin : begin + cut][::-1]
+        core[k] = text[begin + cut]
+        rest = text[begin + cut + 1 : begin + cut + 1 + min(wide, len(symbols) - cut - size)]
+        right[k, : len(rest)] = rest
+        right[k, len(rest) :] = -1 - k
+        left[k, cut:] = -1 - k
+    pair, back = np.unique(owner[x] * len(contexts) + owner[y], return_inverse=True)
+    p, q = pair // len(contexts), pair % len(contexts)
+    to_left, to_right = _common(left[p], left[q]), _common(right[p], right[q])
+    hit = np.zeros(len(text), dtype=bool)
+    equal = (core[p] == core[q])[back] & (to_left[back] >= ahead[x]) & (to_right[back] >= wide - ahead[x])
+    hit[x[equal]] = hit[y[equal]] = True
+    return [m | hit[begin : begin + len(m)] for m, begin in zip(masks, begins, strict=True)]
+
+
+_MASK = "unit long, pa long, pb long, mask binary"
+
+
+def _decide(kind: Kind):
+    """Rows of a unit stand together; a mask of starts for each of its contexts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        units: list[list] = []
+        ids: list[list] = []
+        names: dict[bytes, int] = {}
+        now, held = None, 0
+
+        def close() -> pa.RecordBatch:
+            nonlocal units, ids, names, held
+            rows = []
+            for own, masks in zip(ids, repeated_masks(units, kind), strict=True):
+                rows += [(*i, np.packbits(m, bitorder="little").tobytes()) for i, m in zip(own, masks, strict=True) if m.any()]
+            units, ids, names, held = [], [], {}, 0
+            return _batch(list(zip(*rows, strict=True)) or [[]] * 4, _MASK)
+
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("unit", "pa", "pb", "lead", "starts", "n", "body"))
+            for unit, one, two, lead, starts, n, body in zip(*columns, strict=True):
+                if unit != now:
+                    if held > 4 * STEP_SYMBOLS:
+                        yield close()
+                    units.append([])
+                    ids.append([])
+                    now = unit
+                symbols = _symbols([body], kind, names)[0]
+                units[-1].append((lead, starts, n, symbols))
+                ids[-1].append((unit, one, two))
+                held += len(symbols)
+        yield close()
+
+    return run
+
+
+def _spans_of(kind: Kind):
+    """The runs of bytes that the found strings cover in every text, and what is left."""
+    schema = "key long, sig long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for key, sig, text, found in zip(*(batch[c].to_pylist() for c in ("key", "sig", "text", "found")), strict=True):
+                masks: dict[tuple, list] = {}
+                for f in found:
+                    masks[f["h"], f["a"], f["b"]] = [(m["at"], np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little")) for m in f["masks"]]
+                known = np.unique(np.fromiter((k[0] for k in masks), np.int64, len(masks)))
+                tokens = Tokens.of(text, kind)
+                edge = np.zeros(len(tokens) + 1, dtype=np.int32)
+                for lo, hi, _, h, a, b in anchors(tokens, kind):
+                    for i in np.flatnonzero(np.isin(h, known)).tolist():
+                        for at, mask in masks.get((int(h[i]), int(a[i]), int(b[i])), ()):
+                            j = lo[i] + at + np.flatnonzero(mask)
+                            j = j[j <= hi[i]]
+                            edge[j] += 1
+                            edge[j + kind.length] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
+                turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
+                begin, end = turn[0::2], turn[1::2]
+                data = text.encode()
+                if kind.words:
+                    begin, end = tokens.first[begin], tokens.last[end - 1]
+                left, at = hashlib.sha256(), 0
+                for s, e in zip(begin.tolist(), end.tolist(), strict=True):
+                    left.update(data[at:s])
+                    at = e
+                left.update(data[at:])
+                rows.append((key, sig, int((end - begin).sum()), len(begin), left.hexdigest(), begin.tolist(), end.tolist()))
+            yield _batch(list(zip(*rows, strict=True)) or [[]] * 7, schema)
+
+    return run, schema
+
+
+# -- the operator ----------------------------------------------------------------------------------
+
+
+def _masks_of_hot(held: DataFrame, hot: DataFrame, kind: Kind) -> DataFrame:
+    """Masks of the contexts of units that are too great: cut ever finer, arrays for what is small enough."""
+    key = ["h", "a", "b"]
+    done = None
+    for span in SPANS:
+        asked = hot.groupBy("key", "sig").agg(F.collect_list(F.struct(*key, "n")).alias("asked"))
+        rows = written(held.join(asked, ["key", "sig"]).select("text", "asked").mapInArrow(_pieces_of(kind, span), _PIECE), "pieces")
+        once = rows.groupBy("unit", "pa", "pb").agg(
+            F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.first("body").alias("body")
+        )
+        once = written(once, "pieces_once")
+        great = once.groupBy("unit").count().where(F.col("count") > UNIT_CONTEXTS).select("unit")
+        great = written(great, "great_units")
+        last = span == SPANS[-1] or great.isEmpty()
+        if not last:
+            once = once.join(great, "unit", "left_anti")
+        found = _arrays(once, kind)
+        found = rows.join(written(found, "piece_masks"), ["unit", "pa", "pb"]).select(*key, "at", "mask")
+        done = found if done is None else done.unionByName(found)
+        if last:
+            return done
+        again = rows.join(great, "unit").select(*key).distinct()
+        hot = hot.join(written(again, "still_hot"), key)
+    return done
+
+
+def _arrays(pieces: DataFrame, kind: Kind) -> DataFrame:
+    columns = ["unit", "pa", "pb", "lead", "starts", "n", "body"]
+    return pieces.select(*columns).repartition("unit").sortWithinPartitions("unit").mapInArrow(_decide(kind), _MASK)
+
+
+def repeated_spans(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, words: bool = False
+) -> DataFrame:
+    """Find every byte that a string of `length` bytes covers which also starts anywhere else.
+
+    With words, strings are of `length` words, however these are spaced.
+
+    1. Each text is cut into contexts by anchors (see anchors): equal strings have equal anchors.
+       Only hashes move; anchors that occur once are dropped, and equal contexts (124-bit
+       fingerprints) become one, with the number of their places, counted before the shuffle.
+    2. The contexts of an anchor are a unit. One suffix array by linear grouping is built over the
+       text of each unit (see repeated_masks), for many units in step, and tells which strings
+       start twice. Hashes bring candidates together; the array and its symbols decide.
+    3. A unit of over UNIT_CONTEXTS contexts (a passage that very many documents share, in
+       different surroundings) is cut at fixed distances from the anchor into smaller units, and
+       pieces that agree there become one before the shuffle; SPANS gives the sizes, down to one
+       string. No task holds an unbounded unit, and the array decides all of them.
+    4. The masks come back to the texts, which cut what they cover.
+
+    Defined cases: null and empty texts, and those below the length, lose nothing; rows repeated
+    with the same id are two places of their text; null ids are one id among others; periodic
+    texts have many equal contexts, which count once; an empty table gives none; extra columns
+    are ignored.
     Out: id, n_bytes, n_removed, n_spans, kept_sha256, starts, ends (of the removed runs), and
     sig, a hash of the text that tells rows of one id apart.
     """
+    kind = Kind(length, words)
     text = text_of(text_col)
-    # results follow from the text alone, so a null id may share its key with the least id
     own = F.col(id_col).cast("long")
-    base = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(-(2**63))).alias("doc_id"), F.xxhash64(text).alias("sig"), text.alias("text"))
-    long = base.where(F.octet_length("text") >= LENGTH).select("doc_id", "sig", "text")
-    found = written(long.mapInArrow(_anchor_rows, "doc_id long, sig long, place int, h long, c long"), "anchors")
-
-    counted = found.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    often = written(found.join(counted.select("h"), "h"), "repeated")
-    contexts = often.groupBy("h", "c").agg(F.count(F.lit(1)).alias("places"), F.min(F.struct("doc_id", "sig", "place")).alias("stands"))
-    lonely = contexts.where("places = 1").select("h").distinct().withColumn("lonely", F.lit(True))
-    here = F.struct("doc_id", "sig", "place")
-    marked = often.join(contexts.join(lonely, "h", "left"), ["h", "c"]).select(
-        "doc_id", "sig", "place", "h", "c", "places", (F.col("lonely").isNotNull() & F.col("stands").eqNullSafe(here)).alias("asks")
-    )
-    listed = marked.groupBy("doc_id", "sig").agg(F.collect_list(F.struct("place", "h", "c", "places", "asks")).alias("found"))
-    key = ["doc_id", "sig"]
-    held = written(long.join(listed, key).dropDuplicates(key), "held")
-
-    stretches = written(
-        held.mapInArrow(_stretches, "h long, c long, k int, gram long, n_left int, around binary, places long, s long"), "stretches"
-    )
-    strings = stretches.groupBy(*_UNIT, "n_left", "around").agg(F.sum("places").alias("places"), F.first("s").alias("s"))
-    units = strings.groupBy(*_UNIT).agg(F.count(F.lit(1)).alias("m"), F.max("places").alias("most"))
-    joined = written(strings.join(units.where("m > 1 or most > 1"), _UNIT), "units")
-    least = F.greatest(F.lit(0), F.lit(STEP) - (F.octet_length("around") - F.col("n_left")))
-    whole = F.expr("if(least <= n_left, shiftleft(1, n_left + 1) - shiftleft(1, least), 0)")
-    alone = joined.where("m = 1").withColumn("least", least).select("h", "k", "s", whole.cast("int").alias("mask"))
-    few = joined.where(f"m > 1 and m <= {UNIT_STRINGS}").drop("m", "most").repartition(*_UNIT).sortWithinPartitions(*_UNIT)
-    decided = few.mapInArrow(_decide, "h long, k int, s long, mask int")
-    starts = joined.where(f"m > {UNIT_STRINGS}").withColumn("j", F.explode(F.expr("filter(sequence(0, n_left), x -> x + octet_length(around) - n_left >= %d)" % STEP)))
-    part = F.expr(f"substring(around, n_left - j + 1, {STEP})")
-    starts = starts.select(*_UNIT, "s", "places", "j", part.alias("part"))
-    twice = starts.groupBy(*_UNIT, "j", "part").agg(F.sum("places").alias("n")).where("n > 1")
-    many = starts.join(twice, [*_UNIT, "j", "part"]).groupBy("h", "k", "s").agg(F.bit_or(F.expr("shiftleft(1, j)")).alias("mask"))
-    masks = alone.unionByName(decided).unionByName(many).where("mask <> 0")
-    per_context = stretches.where("places = 1").select("h", "c", "k", "s").join(masks, ["h", "k", "s"]).groupBy("h", "c").agg(
-        F.collect_list(F.struct("k", "mask")).alias("masks")
-    )
-
-    asked = held.select(*key, F.inline("found")).where("places = 1").select(*key, "place", "h", "c")
-    partly = asked.join(per_context, ["h", "c"]).groupBy(*key).agg(F.collect_list(F.struct("place", "masks")).alias("parts"))
-    wholly = F.transform(F.filter("found", lambda f: f["places"] > 1), lambda f: f["place"])
-    cut = held.select(*key, "text", wholly.alias("whole")).join(partly, key, "left").where("size(whole) > 0 or parts is not null")
-    cut = cut.mapInArrow(
-        _cut, "doc_id long, sig long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
-    )
-    cut = written(cut, "cut")
-    lean = base.select("own_id", *key, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    return lean.join(cut, key, "left").select(
+    base = docs.select(own.alias("own_id"), F.coalesce(own, F.lit(NO_ID)).alias("key"), F.xxhash64(text).alias("sig"), text.alias("text"))
+    long = base.where(F.octet_length("text") >= (2 * length - 1 if words else length)).select("key", "sig", "text")
+    doc, context = ["key", "sig"], ["h", "a", "b"]
+    found = written(long.mapInArrow(_contexts_of(kind), _CONTEXT), "contexts_found")
+    # aggregates are written before they are joined, so that adaptive execution may split a hot anchor
+    repeated = written(found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h"), "anchors_repeated")
+    often = written(found.join(repeated, "h"), "contexts_repeated")
+    once = often.groupBy(*context).agg(F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.min(F.struct(*doc)).alias("stands"))
+    once = written(once.select(*context, "n", "stands.key", "stands.sig"), "contexts_once")
+    great = written(once.groupBy("h").count().where(F.col("count") > UNIT_CONTEXTS).select("h"), "great_anchors")
+    hot = None if great.isEmpty() else written(once.join(great, "h"), "contexts_hot")
+    normal = once if hot is None else once.join(great, "h", "left_anti")
+    asked = normal.groupBy(*doc).agg(F.collect_list(F.struct(*context, "n")).alias("asked"))
+    holders = often.select(*doc).distinct()
+    held = written(long.join(holders, doc, "left_semi").dropDuplicates(doc).join(asked, doc, "left"), "texts_held")
+    pieces = held.where("asked is not null").select("text", "asked").mapInArrow(_pieces_of(kind, None), _PIECE)
+    masks = _arrays(pieces, kind).select(F.col("unit").alias("h"), F.col("pa").alias("a"), F.col("pb").alias("b"), F.lit(0).alias("at"), "mask")
+    if hot is not None:
+        masks = masks.unionByName(_masks_of_hot(held.drop("asked"), hot, kind))
+    return _covered(base, held, often, masks, kind, id_col)
+
+
+def _covered(base: DataFrame, held: DataFrame, often: DataFrame, masks: DataFrame, kind: Kind, id_col: str) -> DataFrame:
+    doc, context = ["key", "sig"], ["h", "a", "b"]
+    masks = written(masks, "masks").groupBy(*context).agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
+    masks = written(masks, "masks_by_context")
+    back = often.select(*doc, *context).join(masks, context).groupBy(*doc).agg(F.collect_list(F.struct(*context, "masks")).alias("found"))
+    run, schema = _spans_of(kind)
+    cut = written(held.select(*doc, "text").join(back, doc).mapInArrow(run, schema), "spans")
+    lean = base.select("own_id", *doc, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
+    return lean.join(cut, doc, "left").select(
         F.col("own_id").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -355,25 +498,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def without_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", words: int | None = None
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str | None = "n_chars", length: int = LENGTH, words: bool = False
 ) -> DataFrame:
     """The documents with the repeated runs cut out of their texts; rows and columns stay.
 
-    A run is what strings of LENGTH bytes cover that start twice (see repeated_spans) and, with
-    words, what windows of so many words cover that do (see repeated_passages); both are found
-    in the whole texts. A run is shortened to whole characters. Where chars_col is a column, it
-    gets the new count of characters of the texts that are cut. Null texts stay null.
+    A run is what strings of `length` bytes (or words) cover that start twice (see
+    repeated_spans), found in the whole texts and shortened to whole characters. Where chars_col
+    is a column, it gets the new count of characters of the texts that are cut. Null texts stay null.
     """
-    from driftloom.llm.passages import NO_ID, repeated_passages
-
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    spans = repeated_spans(docs, id_col, text_col).where("n_spans > 0").select(key.alias("key"), "sig", "starts", "ends")
-    spans = spans.dropDuplicates(["key", "sig"])
-    if words:
-        both = spans.unionByName(repeated_passages(docs, words, id_col, text_col))
-        both = both.groupBy("key", "sig").agg(F.collect_list(F.struct("starts", "ends")).alias("runs"))
-        spans = both.select("key", "sig", F.flatten("runs.starts").alias("starts"), F.flatten("runs.ends").alias("ends"))
-    spans = spans.select(F.col("key").alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    spans = repeated_spans(docs, id_col, text_col, length, words).where("n_spans > 0")
+    spans = spans.select(key.alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
+    spans = spans.dropDuplicates(["__id", "__sig"])
     signed = docs.withColumn("__own", F.xxhash64(text_of(text_col)))
     found = signed.join(spans, (key == F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
 
@@ -397,13 +533,7 @@ def without_repeats(
 
 def _cut_text(text: str, starts: list[int], ends: list[int]) -> str:
     data, at, parts = text.encode(), 0, []
-    runs: list[list[int]] = []
-    for start, end in sorted(zip(starts, ends, strict=True)):
-        if runs and start <= runs[-1][1]:
-            runs[-1][1] = max(runs[-1][1], end)
-        else:
-            runs.append([start, end])
-    for start, end in runs:
+    for start, end in zip(starts, ends, strict=True):
         while start < end and data[start] & 0xC0 == 0x80:
             start += 1
         while end > start and end < len(data) and data[end] & 0xC0 == 0x80:

@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from driftloom.llm import common, exact_dedup, minhash, packing, passages, quality, sentencepiece_codec, sharding, suffix_dedup, token_output, toxicity, warc
+from driftloom.llm import common, exact_dedup, minhash, linear_grouping, packing, quality, sentencepiece_codec, sharding, suffix_dedup, token_output, toxicity, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, h string"
 
@@ -234,12 +234,18 @@ def naive_cut(texts):
     return out
 
 
-@pytest.mark.parametrize("unit", [20_000, 2])
-def test_repeated_spans_equal_brute_force(spark, monkeypatch, unit):
-    monkeypatch.setattr(suffix_dedup, "UNIT_STRINGS", unit)
+def balanced(n):
+    """The Thue-Morse word: polynomial hashes modulo a power of two can't tell it from its complement."""
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(n))
+
+
+@pytest.mark.parametrize("contexts", [256, 2])
+def test_repeated_spans_equal_brute_force(spark, monkeypatch, contexts):
+    monkeypatch.setattr(suffix_dedup, "UNIT_CONTEXTS", contexts)
     rng = random.Random(3)
     passage = words(rng, 110)
     texts = [None, "", "x" * 399, "x" * 400, "y" * 401, "ab" * 600, passage[:399], words(rng, 300)]
+    texts += [balanced(512) + "z", balanced(512).translate({97: "b", 98: "a"}) + "q", "abc" * 500, "q" + "cab" * 140, "é" * 450]
     for k in range(12):
         cut = rng.randrange(60)
         texts.append(words(rng, rng.randrange(60)) + "é" * (k % 3) + passage[cut : len(passage) - rng.randrange(60)] + words(rng, rng.randrange(60)))
@@ -250,11 +256,35 @@ def test_repeated_spans_equal_brute_force(spark, monkeypatch, unit):
         assert (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) == expected, i
 
 
+def test_repeated_spans_of_a_long_periodic_text_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 100_000)
+    rng = random.Random(4)
+    lone = words(rng, 500)
+    texts = ["ab" * 600_000 + lone, "a" * 1_500_000, lone[:399] + "!" + "a" * 399]
+    got = collect(suffix_dedup.repeated_spans(docs(spark, texts)))
+    assert got[0]["n_removed"] == 1_200_000 and got[0]["kept_sha256"] == hashlib.sha256(lone.encode()).hexdigest()
+    assert got[1]["n_removed"] == 1_500_000 and got[1]["n_spans"] == 1
+    assert got[2]["n_removed"] == 0
+
+
+def test_repeated_spans_of_nothing_null_ids_and_repeated_rows(spark):
+    assert suffix_dedup.repeated_spans(docs(spark, [])).count() == 0
+    rng = random.Random(6)
+    long = words(rng, 200)
+    rows = suffix_dedup.repeated_spans(docs(spark, [long, long, None, words(rng, 200)], [None, None, None, 4])).collect()
+    assert sorted((r["doc_id"] or -1, r["n_removed"]) for r in rows) == [(-1, 0), (-1, len(long)), (-1, len(long)), (4, 0)]
+
+
 def test_suffix_arrays():
     rng = random.Random(1)
-    for _ in range(1500):
-        text = [rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randrange(40))] + [0]
-        assert suffix_dedup.suffix_array(text) == sorted(range(len(text)), key=lambda i: text[i:])
+    for _ in range(400):
+        texts = [[rng.randint(1, rng.choice([1, 2, 3, 6])) for _ in range(rng.randrange(40))] + [0] for _ in range(rng.randrange(1, 8))]
+        ends = np.cumsum([len(t) for t in texts])
+        side_by_side = linear_grouping.suffix_arrays(np.concatenate([np.array(t) for t in texts]), ends)
+        for text, end in zip(texts, ends.tolist(), strict=True):
+            expected = sorted(range(len(text)), key=lambda i: text[i:])
+            assert linear_grouping.suffix_array(text) == expected
+            assert (side_by_side[end - len(text) : end] - (end - len(text))).tolist() == expected
 
 
 def test_cut_texts_keep_rows_columns_and_characters(spark):
@@ -266,7 +296,9 @@ def test_cut_texts_keep_rows_columns_and_characters(spark):
     assert set(out[0]) == set(df.columns)
 
 
-def test_repeated_passages_equal_brute_force(spark):
+@pytest.mark.parametrize("contexts", [256, 2])
+def test_repeated_passages_of_words_equal_brute_force(spark, monkeypatch, contexts):
+    monkeypatch.setattr(suffix_dedup, "UNIT_CONTEXTS", contexts)
     rng = random.Random(31)
     passage = words(rng, 40, 30).split()
     texts = [None, "", " ".join(passage)]
@@ -280,13 +312,17 @@ def test_repeated_passages_equal_brute_force(spark):
         w = (t or "").split()
         for i in range(len(w) - size + 1):
             seen[tuple(w[i : i + size])] = seen.get(tuple(w[i : i + size]), 0) + 1
-    ids = [*range(len(texts) - 1), None]
-    got = {r["key"]: set(zip(r["starts"], r["ends"], strict=True)) for r in passages.repeated_passages(docs(spark, texts, ids), size).collect()}
+    got = collect(suffix_dedup.repeated_spans(docs(spark, texts), length=size, words=True))
     for i, t in enumerate(texts):
         spans = [(m.start(), m.end()) for m in re.finditer(rb"[^\x20\x09-\x0D]+", (t or "").encode())]
-        w = (t or "").split()
-        expected = {(spans[k][0], spans[k + size - 1][1]) for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1}
-        assert got.get(passages.NO_ID if ids[i] is None else i, set()) == expected, i
+        w, expected = (t or "").split(), []
+        covered = {k + j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(size)}
+        for k in sorted(covered):
+            if k - 1 in covered:
+                expected[-1] = (expected[-1][0], spans[k][1])
+            else:
+                expected.append(spans[k])
+        assert list(zip(got[i]["starts"] or [], got[i]["ends"] or [], strict=True)) == expected, i
 
 
 def test_pipeline_cuts_passages_of_over_50_words(spark):
