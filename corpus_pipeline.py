@@ -62,8 +62,8 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Passages of PASSAGE_WORDS words, or of 400 bytes, that occur again anywhere are cut out; every document stays."""
-    return without_repeats(docs, words=PASSAGE_WORDS)
+    """Passages of PASSAGE_WORDS words that occur again anywhere are cut out; every document stays."""
+    return without_repeats(docs, length=PASSAGE_WORDS, words=True)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
