@@ -47,18 +47,17 @@ class Tokens:
     end: np.ndarray | None
     first: np.ndarray | None
     last: np.ndarray | None
-    hashes: np.ndarray | None
 
     @classmethod
     def of(cls, text: str, kind: Kind) -> Tokens:
         data = np.frombuffer(text.encode(), dtype=np.uint8)
         if not kind.words:
-            return cls(data, None, None, None, None, None)
+            return cls(data, None, None, None, None)
         first, last = word_spans(data)
         end = np.cumsum(last - first + 1) - 1
         begin = end - (last - first)
         joined = np.frombuffer(b" ".join(data.tobytes().split()), dtype=np.uint8)
-        return cls(joined, begin, end, first, last, hashes_of_words(data, first, last))
+        return cls(joined, begin, end, first, last)
 
     def __len__(self) -> int:
         return len(self.data if self.begin is None else self.begin)
@@ -87,14 +86,15 @@ def anchors(tokens: Tokens, kind: Kind) -> Iterator[tuple[np.ndarray, ...]]:
     """
     gram, n = kind.gram, len(tokens) - kind.length + 1
     width = kind.length - gram + 1
+    hashes = hashes_of_words(tokens.data, tokens.begin, tokens.end) if kind.words and n > 0 else None
     for at in range(0, max(0, n), CHUNK):
         starts = min(CHUNK, n - at)
         stop = at + starts + kind.length - 1
-        if tokens.hashes is None:
+        if hashes is None:
             prefix = prefix_hash(tokens.data[at:stop])
         else:
             prefix = np.zeros(stop - at + 1, dtype=np.uint64)
-            np.cumsum(tokens.hashes[at:stop] * powers(stop - at), out=prefix[1:])
+            np.cumsum(hashes[at:stop] * powers(stop - at), out=prefix[1:])
         m = stop - at - gram + 1
         raw = mixed((prefix[gram:] - prefix[:m]) * powers(m, inverse=True))
         least = _sliding_least(raw, width)
@@ -134,37 +134,38 @@ def _prints(tokens: Tokens, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarr
 
 # -- what runs in the workers -------------------------------------------------------------------
 
-_CONTEXT = "key long, sig long, h long, a long, b long, n short"
+_CONTEXT = "key long, sig long, h long, a long, b long, n short, lo int, lead short, starts short"
+_PLACED = ["h", "a", "b", "n", "lo", "lead", "starts"]
 _PIECE = "h long, a long, b long, at int, unit long, pa long, pb long, lead int, starts int, n short, body binary"
 
 
 def _batch(columns: list, schema: str) -> pa.RecordBatch:
     types = {"long": pa.int64(), "int": pa.int32(), "short": pa.int16(), "binary": pa.binary(), "string": pa.string(), "array<long>": pa.list_(pa.int64())}
     fields = [f.strip().split(" ") for f in schema.split(",")]
-    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c.astype(types[t].to_pandas_dtype()) if isinstance(c, np.ndarray) else c, types[t]) for c, (_, t) in zip(columns, fields, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, [n for n, _ in fields])
 
 
 def _contexts_of(kind: Kind):
-    """The different contexts of every text, with the number of their places, two at most."""
+    """The different contexts of every text: the number of their places, two at most, and the first place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(4)]
-            times = [np.empty(0, np.int16)]
+            rows: list[list[np.ndarray]] = [[np.empty(0, np.int64)] for _ in range(8)]
             for k, text in enumerate(batch["text"].to_pylist()):
-                found = [part[3:] for part in anchors(Tokens.of(text, kind), kind)]
+                found = list(anchors(Tokens.of(text, kind), kind))
                 if not found:
                     continue
-                h, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+                lo, hi, place, h, a, b = (np.concatenate(x) for x in zip(*found, strict=True))
                 _, first, back, n = np.unique(a ^ mixed(h.view(np.uint64)).view(np.int64), return_index=True, return_inverse=True, return_counts=True)
                 if len(first) < len(h) and ((b != b[first][back]) | (a != a[first][back])).any():
-                    whole = np.stack((h, a, b), axis=1)
-                    _, first, n = np.unique(whole, axis=0, return_index=True, return_counts=True)
-                for column, values in zip(rows, (np.full(len(first), k), h[first], a[first], b[first]), strict=True):
-                    column.append(values)
-                times.append(np.minimum(n, 2).astype(np.int16))
-            row, h, a, b = (pa.array(np.concatenate(x)) for x in rows)
-            yield pa.RecordBatch.from_arrays([batch["key"].take(row), batch["sig"].take(row), h, a, b, pa.array(np.concatenate(times))], ["key", "sig", "h", "a", "b", "n"])
+                    _, first, n = np.unique(np.stack((h, a, b), axis=1), axis=0, return_index=True, return_counts=True)
+                values = np.full(len(first), k), h[first], a[first], b[first], np.minimum(n, 2), lo[first], (place - lo)[first], (hi - lo + 1)[first]
+                for column, part in zip(rows, values, strict=True):
+                    column.append(part)
+            row, *values = (np.concatenate(x) for x in rows)
+            row = pa.array(row)
+            yield _batch([batch["key"].take(row), batch["sig"].take(row), *values], _CONTEXT)
 
     return run
 
@@ -180,33 +181,29 @@ def _pieces_of(kind: Kind, span: int | None):
         for batch in batches:
             rows: list[tuple] = []
             for text, asked in zip(batch["text"].to_pylist(), batch["asked"].to_pylist(), strict=True):
-                wanted = {(x["h"], x["a"], x["b"]): x["n"] for x in asked}
                 tokens = Tokens.of(text, kind)
-                for lo, hi, place, h, a, b in anchors(tokens, kind):
-                    for i in np.flatnonzero(np.isin(h, np.fromiter((w[0] for w in wanted), np.int64, len(wanted)))).tolist():
-                        own = int(h[i]), int(a[i]), int(b[i])
-                        n = wanted.pop(own, None)
-                        if n is None:
-                            continue
-                        first, last, anchor = int(lo[i]), int(hi[i]), int(place[i])
-                        if span is None:
-                            s, e = tokens.bytes_at(np.array([first]), np.array([last + kind.length]))
-                            rows.append((*own, 0, *own, anchor - first, last - first + 1, n, tokens.data[s[0] : e[0]].tobytes()))
-                            continue
-                        at = first
-                        while at <= last:
-                            part = (anchor - at) // span
-                            stop = min(last, anchor - part * span)
-                            s, e = (x[0] for x in tokens.bytes_at(np.array([at]), np.array([stop + kind.length])))
-                            # what every string of this distance from the anchor holds
-                            low, high = anchor - part * span, anchor - part * span - span + 1 + kind.length
-                            cs, ce = (x[0] for x in tokens.bytes_at(np.array([low]), np.array([high])))
-                            body = tokens.data[s:e].tobytes()
-                            core = hashlib.blake2b(tokens.data[cs:ce].tobytes(), digest_size=8, salt=b"core", key=b"%d %d" % (own[0], part)).digest()
-                            unit = int.from_bytes(core, "little", signed=True)
-                            pa_, pb_ = np.frombuffer(hashlib.blake2b(body, digest_size=16, key=b"%d" % (stop - at)).digest(), dtype="<i8").tolist()
-                            rows.append((*own, at - first, unit, pa_, pb_, anchor - at, stop - at + 1, n, body))
-                            at = stop + 1
+
+                def octets(low: int, high: int, tokens: Tokens = tokens) -> bytes:
+                    begin, end = (low, high) if tokens.begin is None else (tokens.begin[low], tokens.end[high - 1])
+                    return tokens.data[begin:end].tobytes()
+
+                for x in asked:
+                    own, first, n = (x["h"], x["a"], x["b"]), x["lo"], x["n"]
+                    last, anchor = first + x["starts"] - 1, first + x["lead"]
+                    if span is None:
+                        rows.append((*own, 0, *own, x["lead"], x["starts"], n, octets(first, last + kind.length)))
+                        continue
+                    at = first
+                    while at <= last:
+                        part = (anchor - at) // span
+                        stop = min(last, anchor - part * span)
+                        # what every string of this distance from the anchor holds
+                        core = octets(anchor - part * span, anchor - part * span - span + 1 + kind.length)
+                        unit = hashlib.blake2b(core, digest_size=8, key=b"%d %d" % (own[0], part)).digest()
+                        body = octets(at, stop + kind.length)
+                        piece = hashlib.blake2b(body, digest_size=16, key=b"%d" % (stop - at)).digest()
+                        rows.append((*own, at - first, int.from_bytes(unit, "little", signed=True), *np.frombuffer(piece, dtype="<i8").tolist(), anchor - at, stop - at + 1, n, body))
+                        at = stop + 1
             yield _batch(list(zip(*rows, strict=True)) or [[]] * 11, _PIECE)
 
     return run
@@ -363,18 +360,28 @@ def _spans_of(kind: Kind):
             rows = []
             for key, sig, text, found in zip(*(batch[c].to_pylist() for c in ("key", "sig", "text", "found")), strict=True):
                 masks: dict[tuple, list] = {}
-                for f in found:
-                    masks[f["h"], f["a"], f["b"]] = [(m["at"], np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little")) for m in f["masks"]]
-                known = np.unique(np.fromiter((k[0] for k in masks), np.int64, len(masks)))
                 tokens = Tokens.of(text, kind)
                 edge = np.zeros(len(tokens) + 1, dtype=np.int32)
-                for lo, hi, _, h, a, b in anchors(tokens, kind):
-                    for i in np.flatnonzero(np.isin(h, known)).tolist():
-                        for at, mask in masks.get((int(h[i]), int(a[i]), int(b[i])), ()):
-                            j = lo[i] + at + np.flatnonzero(mask)
-                            j = j[j <= hi[i]]
-                            edge[j] += 1
-                            edge[j + kind.length] -= 1
+
+                def cover(low: np.ndarray, parts: list, edge: np.ndarray = edge) -> None:
+                    for at, mask in parts:  # every start has one context, so no place is named twice
+                        j = (low[:, None] + at + np.flatnonzero(mask)).ravel()
+                        edge[j] += 1
+                        edge[j + kind.length] -= 1
+
+                for f in found:
+                    parts = [(m["at"], np.unpackbits(np.frombuffer(m["mask"], np.uint8), bitorder="little")) for m in f["masks"]]
+                    if f["n"] > 1:
+                        masks[f["h"], f["a"], f["b"]] = parts
+                    else:
+                        cover(np.array([f["lo"]]), parts)
+                # contexts that this text has again and again
+                for lo, _, _, h, a, b in anchors(tokens, kind) if masks else ():
+                    order = np.argsort(a)
+                    ranked = a[order]
+                    for (own, one, two), parts in masks.items():
+                        i = order[np.searchsorted(ranked, one) : np.searchsorted(ranked, one, "right")]
+                        cover(lo[i[(h[i] == own) & (b[i] == two)]], parts)
                 gone = np.cumsum(edge[:-1]) > 0
                 turn = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
                 begin, end = turn[0::2], turn[1::2]
@@ -400,7 +407,7 @@ def _masks_of_hot(held: DataFrame, hot: DataFrame, kind: Kind) -> DataFrame:
     key = ["h", "a", "b"]
     done = None
     for span in SPANS:
-        asked = hot.groupBy("key", "sig").agg(F.collect_list(F.struct(*key, "n")).alias("asked"))
+        asked = hot.groupBy("key", "sig").agg(F.collect_list(F.struct(*_PLACED)).alias("asked"))
         rows = written(held.join(asked, ["key", "sig"]).select("text", "asked").mapInArrow(_pieces_of(kind, span), _PIECE), "pieces")
         once = rows.groupBy("unit", "pa", "pb").agg(
             F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.first("body").alias("body")
@@ -462,14 +469,14 @@ def repeated_spans(
     # aggregates are written before they are joined, so that adaptive execution may split a hot anchor
     repeated = written(found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h"), "anchors_repeated")
     often = written(found.join(repeated, "h"), "contexts_repeated")
-    once = often.groupBy(*context).agg(F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.min(F.struct(*doc)).alias("stands"))
-    once = written(once.select(*context, "n", "stands.key", "stands.sig"), "contexts_once")
+    once = often.groupBy(*context).agg(F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.min(F.struct(*doc, "lo", "lead", "starts")).alias("stands"))
+    once = written(once.select(*context, "n", "stands.*"), "contexts_once")
     great = written(once.groupBy("h").count().where(F.col("count") > UNIT_CONTEXTS).select("h"), "great_anchors")
     hot = None if great.isEmpty() else written(once.join(great, "h"), "contexts_hot")
     normal = once if hot is None else once.join(great, "h", "left_anti")
-    asked = normal.groupBy(*doc).agg(F.collect_list(F.struct(*context, "n")).alias("asked"))
-    holders = often.select(*doc).distinct()
-    held = written(long.join(holders, doc, "left_semi").dropDuplicates(doc).join(asked, doc, "left"), "texts_held")
+    asked = normal.groupBy(*doc).agg(F.collect_list(F.struct(*_PLACED)).alias("asked"))
+    holders = often.select(*doc).distinct()  # as many as there are texts, so never broadcast
+    held = written(long.join(holders.hint("merge"), doc, "left_semi").dropDuplicates(doc).join(asked, doc, "left"), "texts_held")
     pieces = held.where("asked is not null").select("text", "asked").mapInArrow(_pieces_of(kind, None), _PIECE)
     masks = _arrays(pieces, kind).select(F.col("unit").alias("h"), F.col("pa").alias("a"), F.col("pb").alias("b"), F.lit(0).alias("at"), "mask")
     if hot is not None:
@@ -481,7 +488,7 @@ def _covered(base: DataFrame, held: DataFrame, often: DataFrame, masks: DataFram
     doc, context = ["key", "sig"], ["h", "a", "b"]
     masks = written(masks, "masks").groupBy(*context).agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
     masks = written(masks, "masks_by_context")
-    back = often.select(*doc, *context).join(masks, context).groupBy(*doc).agg(F.collect_list(F.struct(*context, "masks")).alias("found"))
+    back = often.select(*doc, *context, "n", "lo").join(masks, context).groupBy(*doc).agg(F.collect_list(F.struct(*context, "n", "lo", "masks")).alias("found"))
     run, schema = _spans_of(kind)
     cut = written(held.select(*doc, "text").join(back, doc).mapInArrow(run, schema), "spans")
     lean = base.select("own_id", *doc, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
