@@ -17,16 +17,32 @@ SPACE = r"[\x20\x09-\x0D]+"
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below spark.checkpoint.dir, which driver and executors share.
 
-    Where the setting is absent (local tests) a temporary folder takes its place for the
-    whole session.
+    Where the setting is absent a temporary folder takes its place, in local mode alone: on a
+    cluster other machines would not see it.
     """
     context = spark.sparkContext
-    root = context.getConf().get("spark.checkpoint.dir") or getattr(context, "_own_shared_dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir") or getattr(context, "_own_shared_dir", None)
     if root is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = context._own_shared_dir = "file://" + tempfile.mkdtemp(prefix="shared-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def publish(folder: str, name: str, data: bytes) -> None:
+    """Write under a name of this attempt, then rename: a lost or repeated task leaves no half file."""
+    from pyarrow import fs
+
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path, recursive=True)
+    own = f"{path}/.{name}.{uuid.uuid4().hex}"
+    with system.open_output_stream(own) as out:
+        out.write(data)
+    if type(system).__name__ != "LocalFileSystem" and system.get_file_info(f"{path}/{name}").is_file:
+        system.delete_file(f"{path}/{name}")
+    system.move(own, f"{path}/{name}")
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
     """Write df below the shared folder and read it back: cuts the lineage and survives lost executors."""
     path = shared_dir(df.sparkSession, purpose)

@@ -28,13 +28,12 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Extra columns are ignored. Out: id, keep_id, group_size, kept, text_sha256.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
-    hashed = base.withColumn("h", F.md5("norm"))
-    signed = hashed.select("doc_id", "h", F.sha2("norm", 256).alias("text_sha256"))
+    signed = written(base.select("doc_id", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")), "hashes")
     groups = signed.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-
-    texts = written(
-        hashed.join(groups.where("group_size > 1"), "h").select("h", "doc_id", "norm", "keep_id", "group_size"), "copies"
-    )
+    # aggregates are written before they are joined, so that adaptive execution may split a hot group
+    groups = written(groups, "groups")
+    copied = groups.where("group_size > 1")
+    texts = written(base.withColumn("h", F.md5("norm")).join(copied, "h").select("h", "doc_id", "norm", "keep_id", "group_size"), "copies")
     slices = F.ceil(F.col("group_size") / F.lit(GROUP_SLICE)).cast("int")
     first = (
         texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -42,25 +41,27 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .agg(F.min("norm").alias("first_norm"))
         .select("h", "first_norm", F.explode(F.sequence(F.lit(0), slices - 1)).alias("slice"))
     )
-    member = texts.withColumn("slice", F.pmod(F.xxhash64("doc_id"), slices).cast("int"))
+    # rows of one id (a null one, say) are dealt out as well
+    member = texts.withColumn("slice", F.pmod(F.xxhash64("doc_id", F.monotonically_increasing_id()), slices).cast("int"))
     collided = (
         member.join(first, ["h", "slice"])
         .where(F.col("norm") != F.col("first_norm"))
         .groupBy("h", "norm")
         .agg(F.min("doc_id").alias("own_keep"), F.count(F.lit(1)).alias("own_size"))
     )
-    # almost always empty: the rest of the group loses these rows
     apart = written(collided.select("h", F.sha2("norm", 256).alias("text_sha256"), "own_keep", "own_size"), "collisions")
-    lost = apart.groupBy("h").agg(F.sum("own_size").alias("lost"))
-    fixed = groups.join(lost, "h", "left").select(
-        "h", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("group_size")
-    )
-    out = signed.join(fixed, "h").join(apart, ["h", "text_sha256"], "left")
-    keep = F.coalesce("own_keep", "keep_id")
+    keep = F.col("keep_id")
+    if apart.isEmpty():  # no two different texts share a hash
+        out = signed.join(groups, "h")
+    else:
+        lost = apart.groupBy("h").agg(F.sum("own_size").alias("lost"))
+        fixed = groups.join(lost, "h", "left").select("h", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("size"))
+        out = signed.join(fixed, "h").join(apart, ["h", "text_sha256"], "left")
+        out, keep = out.withColumn("group_size", F.coalesce("own_size", "size")), F.coalesce("own_keep", "keep_id")
     return out.select(
         F.col("doc_id").alias(id_col),
         keep.alias("keep_id"),
-        F.coalesce("own_size", "group_size").alias("group_size"),
+        "group_size",
         F.col("doc_id").eqNullSafe(keep).alias("kept"),
         "text_sha256",
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +17,8 @@ from driftloom.llm.common import mixed, shingle_hashes, text_of, word_hashes, wr
 BANDS, ROWS = 30, 6
 #: Members of a unit of comparison, and the shingles that its sets may sum to.
 UNIT_MEMBERS, UNIT_SHINGLES = 1024, 2_000_000
+#: Members of one unit that are compared with a leader alone.
+STAR_MEMBERS = 512
 #: Up to so many members are compared pair by pair, more by products of incidence matrices.
 FEW, COLUMNS = 12, 4096
 
@@ -53,6 +56,26 @@ def band_keys(best: np.ndarray) -> np.ndarray:
     return total
 
 
+def exact_sets(texts: list[str], words: int) -> list[np.ndarray]:
+    """The shingles of several texts as sorted distinct integers, equal for equal words alone.
+
+    Words are named by their bytes; runs of 2, 3, ... words are named by the name of the run before
+    and of the next word, so nothing is hashed.
+    """
+    names: dict[bytes, int] = {}
+    rows = []
+    for text in texts:
+        own = [names.setdefault(w, len(names) + 1) for w in text.encode("utf-8", "surrogatepass").lower().split()]
+        rows.append(own + [0] * (words - len(own)) if own else [0] * words)
+    size = np.array([len(r) for r in rows])
+    word = np.fromiter((w for r in rows for w in r), np.int64, int(size.sum()))
+    run = word
+    for k in range(1, words):
+        run = np.unique(run[:-1] * (len(names) + 1) + word[k:], return_inverse=True)[1]
+    begin = np.cumsum(size) - size
+    return [np.unique(run[b : b + n - words + 1]) if rows[i][0] else run[:0] for i, (b, n) in enumerate(zip(begin, size, strict=True))]
+
+
 def sketches(docs: DataFrame, words: int) -> DataFrame:
     """doc_id, size of the set, 128 bits that stand for the set, and its band keys."""
 
@@ -62,8 +85,9 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
             for text in batch["text"].to_pylist():
                 s = shingle_set(text, words)
                 n.append(len(s))
-                one.append(int(s.sum(dtype=np.uint64).view(np.int64)))
-                two.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
+                whole = np.frombuffer(hashlib.blake2b(s.astype("<u8").tobytes(), digest_size=16, key=b"sets").digest(), dtype="<i8")
+                one.append(int(whole[0]))
+                two.append(int(whole[1]))
                 bands.append(band_keys(signature(s)).view(np.int64) if len(s) else np.empty(0, np.int64))
             bands = pa.array(bands, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
@@ -87,10 +111,11 @@ def connected(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # aggregates are written before they are joined, so that adaptive execution may split a hub
+        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large.where("a <> b").distinct(), "large")
+        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )
@@ -148,25 +173,63 @@ def unit_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tup
     return out
 
 
+def star_links(ids: list[int], sets: list[np.ndarray], percent: int, leader: int) -> list[tuple[int, int]]:
+    """The links of the leader with the others of its unit."""
+    own = sets[ids.index(leader)]
+    out = []
+    for x, s in zip(ids, sets, strict=True):
+        if x != leader and 100 * min(len(s), len(own)) >= percent * max(len(s), len(own)):
+            shared = len(np.intersect1d(s, own, assume_unique=True))
+            if 100 * shared >= percent * (len(s) + len(own) - shared):
+                out.append((x, leader))
+    return out
+
+
 def links_of_units(units: DataFrame, words: int, percent: int) -> DataFrame:
-    """units: unit, doc_id, text, all rows of a unit together. Out: the links (a, b)."""
+    """units: unit, leader (null: all pairs), doc_id, text, all rows of a unit together. Out: the links (a, b).
+
+    Every link is decided on the words themselves, not on hashes.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, ids, sets = None, [], []
+        now, ids, texts, lead = None, [], [], None
+
+        def close() -> list[tuple[int, int]]:
+            sets = exact_sets(texts, words) if len(ids) > 1 else []
+            if not sets:
+                return []
+            return unit_links(ids, sets, percent) if lead is None else star_links(ids, sets, percent, lead)
+
         for batch in batches:
             found = []
-            for unit, doc, text in zip(batch["unit"], batch["doc_id"], batch["text"], strict=True):
+            for unit, leader, doc, text in zip(batch["unit"], batch["leader"], batch["doc_id"], batch["text"], strict=True):
                 if unit != now:
-                    found += unit_links(ids, sets, percent)
-                    now, ids, sets = unit, [], []
+                    found += close()
+                    now, ids, texts, lead = unit, [], [], None if leader is None else int(leader)
                 ids.append(int(doc))
-                sets.append(shingle_set(text, words))
+                texts.append(text)
             yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(unit_links(ids, sets, percent), columns=["a", "b"], dtype="int64")
+        yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
 
     return units.mapInPandas(run, "a long, b long")
 
 
+def _dealt(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
+    """unit, doc_id: groups of members whole or, beyond UNIT_MEMBERS, as pairs of blocks.
+
+    members: node, `group`, n; sizes: `group`, m, total. Memory is bounded however large a group is.
+    """
+    blocks = F.when(
+        (F.col("m") > UNIT_MEMBERS) | (F.col("total") > UNIT_SHINGLES),
+        F.greatest(F.ceil(F.col("m") * 2.2 / UNIT_MEMBERS), F.ceil(F.col("total") * 2.2 / UNIT_SHINGLES), F.lit(2)),
+    ).otherwise(1)
+    dealt = members.join(sizes.select(group, blocks.cast("int").alias("blocks")), group).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.select("node", group, "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    return dealt.where("blocks = 1 or own <> other").select(
+        F.concat_ws("/", group, F.least("own", "other"), F.greatest("own", "other")).alias("unit"), F.lit(None).cast("string").alias("leader"), F.col("node").alias("doc_id")
+    )
+
+
 def near_duplicates(
     docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
@@ -175,14 +238,21 @@ def near_duplicates(
     Sets are the distinct runs of `words` lower-cased words. Documents of equal sets are one
     class. Circulant MinHash signatures are banded; documents that share a band, directly or
     through others, form a candidate group (stars to the smallest id of a band, so rows stay
-    linear). Links are then decided on the whole sets inside each group, in units: a group of
-    more than UNIT_MEMBERS is dealt into blocks and each pair of blocks is a unit, so a task's
-    memory is bounded however large the group; a unit gives a spanning forest, never all pairs.
+    linear). Links are decided on the words of whole texts, in units that a task can hold:
+
+    * a group of at most UNIT_MEMBERS is one unit, and every pair is decided;
+    * in a greater group each member is first compared with the leaders of its bands. Members so
+      linked need no other link; only bands whose members still lie in different components are
+      compared pair by pair, in pairs of blocks where they are great. Copies of one text, however
+      many, thus cost one comparison a band, not one a pair.
+
+    Units give links that span what they found, never all pairs.
 
     Defined cases: with fewer words than `words` the whole sequence is one shingle; a text
     without words, empty or null, has an empty set and is linked with nothing; rows repeated
     with the same id and text are one document, and of different texts under one id the smallest
-    stands for the class they lead; a null id has a null component and links with nothing; an empty table gives none; extra columns are ignored.
+    stands for the class they lead; a null id has a null component and links with nothing; an
+    empty table gives none; extra columns are ignored.
     Out: id, n_shingles, component_id, kept.
     """
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
@@ -191,31 +261,38 @@ def near_duplicates(
     classes = written(
         full.groupBy("n", "set_a", "set_b").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands")), "classes"
     )
+    sized = classes.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n"))
     keys = classes.select("doc_id", F.explode("bands").alias("band"))
-    leaders = keys.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = keys.join(leaders.select("band", "leader"), "band").where("doc_id <> leader").select(
-        F.col("doc_id").alias("a"), F.col("leader").alias("b")
-    )
-    member = connected(stars.distinct())
-    member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct())
-    member = member.join(classes.groupBy(F.col("doc_id").alias("node")).agg(F.max("n").alias("n")), "node")
-    sizes = member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total"))
-    blocks = F.when(
-        (F.col("m") > UNIT_MEMBERS) | (F.col("total") > UNIT_SHINGLES),
-        F.greatest(F.ceil(F.col("m") * 2.2 / UNIT_MEMBERS), F.ceil(F.col("total") * 2.2 / UNIT_SHINGLES), F.lit(2)),
-    ).otherwise(1)
-    dealt = member.join(sizes.select("root", blocks.cast("int").alias("blocks")), "root").withColumn(
-        "own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    )
-    dealt = dealt.select("node", "root", "own", "blocks", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.where("blocks = 1 or own <> other").select(
-        F.col("node").alias("doc_id"),
-        F.concat_ws("/", "root", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
-    )
-    texts = base.join(dealt.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    units = dealt.join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit")
-    found = links_of_units(units, words, percent)
-    root = connected(found)
+    leaders = keys.groupBy("band").agg(F.min("doc_id").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1").select("band", "leader")
+    leaders = written(leaders, "leaders")
+    stars = keys.join(leaders, "band").where("doc_id <> leader").select(F.col("doc_id").alias("a"), F.col("leader").alias("b"))
+    stars = written(stars.distinct(), "stars")
+    member = connected(stars)
+    member = member.unionByName(member.select(F.col("root").alias("node"), "root").distinct()).join(sized, "node")
+    member = written(member, "members")
+    sizes = written(member.groupBy("root").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")), "group_sizes")
+    great = (F.col("m") > UNIT_MEMBERS) | (F.col("total") > UNIT_SHINGLES)
+    small = _dealt(member, "root", sizes.where(~great))
+    hot = None if sizes.where(great).isEmpty() else written(member.join(sizes.where(great).select("root"), "root"), "great_groups")
+    if hot is not None:
+        fans = stars.join(hot.select(F.col("node").alias("a")), "a")
+        fan = fans.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_MEMBERS).alias("slices"))
+        fans = fans.join(written(fan, "fans"), "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices")))
+        unit = F.concat_ws("*", "b", "slice").alias("unit")
+        rays = fans.select(unit, F.col("b").cast("string").alias("leader"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+        small = small.unionByName(rays)
+    links = _decided(base, small, words, percent)
+    if hot is not None:
+        links = written(links, "links")
+        # bands whose members are not yet in one component
+        label = hot.join(connected(links).withColumnRenamed("root", "part"), "node", "left").select("node", "n", F.coalesce("part", "node").alias("part"))
+        label = written(label, "parts")
+        banded = keys.withColumnRenamed("doc_id", "node").join(label, "node")
+        open_bands = banded.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("p <> q")
+        open_bands = written(open_bands.select("band", "m", "total"), "open_bands")
+        more = _dealt(banded.join(open_bands.select("band"), "band").select("node", "band"), "band", open_bands)
+        links = links.unionByName(_decided(base, more, words, percent))
+    root = connected(links)
     same = full.join(classes.select(F.col("doc_id").alias("class_id"), "n", "set_a", "set_b"), ["n", "set_a", "set_b"]).select("doc_id", "n", "class_id")
     joined = same.join(root, F.col("class_id") == F.col("node"), "left")
     labelled = joined.select("doc_id", "n", F.coalesce("root", "class_id").alias("component_id"))
@@ -226,3 +303,11 @@ def near_duplicates(
         "component_id",
         F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"),
     )
+
+
+def _decided(base: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
+    """The links of the units that unit, leader and doc_id name."""
+    dealt = written(dealt, "dealt")
+    texts = base.join(dealt.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    texts = written(texts, "unit_texts")
+    return links_of_units(dealt.join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit"), words, percent)

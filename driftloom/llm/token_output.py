@@ -14,8 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import shared_dir, text_of, written
-from driftloom.llm.warc import _publish
+from driftloom.llm.common import publish, shared_dir, text_of, written
 
 MAGIC = b"PLANES1\n"
 #: Ids in a block, and ids after which a new file begins.
@@ -175,7 +174,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, kind: str, end_i
             nonlocal serial, ids, lengths, parts, held
             if ids:
                 name = f"ids-{part:06d}-{serial:05d}.planes"
-                _publish(folder, name, make_file(ids, lengths, np.frombuffer(b"".join(parts), dtype="<u4"), kind))
+                publish(folder, name, make_file(ids, lengths, np.frombuffer(b"".join(parts), dtype="<u4"), kind))
                 done.append((name, len(ids), held))
                 serial, ids, lengths, parts, held = serial + 1, [], [], [], 0
 

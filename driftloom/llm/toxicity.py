@@ -16,6 +16,8 @@ from driftloom.llm.common import text_of
 LENGTHS, FEATURES = (3, 4, 5), 1 << 20
 #: At most so many labelled rows of each class train the model; the smallest hashes of the ids are taken.
 TOXIC_ROWS, CLEAN_ROWS = 1500, 3000
+#: Longer texts are not trained on, so that what comes to the driver is bounded (they are scored whole).
+TRAIN_CHARS = 20_000
 #: Features in fewer training texts, or with a smaller absolute log-count ratio, are left out.
 LEAST_TEXTS, LEAST_RATIO = 3, 0.7
 #: Strength of the ridge penalty, steps of the solver, and the score from which a text is toxic.
@@ -99,7 +101,11 @@ def held_out(id_col: str) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Fit on a bounded sample of the labelled rows that are not held out."""
+    """Fit on a bounded sample of the labelled rows that are not held out.
+
+    At most TOXIC_ROWS and CLEAN_ROWS ids of the two labels, each with one text (the smallest, where
+    an id has several) of at most TRAIN_CHARS characters.
+    """
     usable = labels.where(~held_out(id_col) & F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
     usable = usable.groupBy(id_col).agg(F.max(F.col(label_col).cast("int")).alias("label"))
     chosen = None
@@ -114,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     texts = docs.select(F.col(id_col).alias(id_col), text_of(text_col).alias("text"))
     # at most TOXIC_ROWS + CLEAN_ROWS ids are broadcast, and as many sets come to the driver
-    joined = texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).alias("id"), "label", "text")
+    joined = texts.where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(chosen), id_col)
+    joined = joined.groupBy(F.col(id_col).alias("id"), "label").agg(F.min("text").alias("text"))
     kind = joined.schema["id"].dataType.simpleString()
     found = joined.mapInArrow(extract, f"id {kind}, label int, found binary").toArrow().sort_by("id")
     sets = [np.frombuffer(s, dtype="<u4") for s in found["found"].to_pylist()]

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import shared_dir, text_of, written
+from driftloom.llm.common import publish, shared_dir, text_of, written
 
 #: The skippable frame that holds the dictionary, as the WARC profile for Zstandard has it.
 DICTIONARY_MAGIC = 0x184D2A5D
@@ -65,32 +65,17 @@ def fit_dictionary(samples: list[bytes]) -> bytes:
         return (b"".join(samples)[:DICTIONARY_BYTES] + b"WARC/1.1\r\n" * 2)[:DICTIONARY_BYTES]
 
 
-def _file_system(uri: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
-def _publish(folder: str, name: str, data: bytes) -> None:
-    """Write under a name of this attempt, then rename: a lost or repeated task leaves no half file."""
-    system, path = _file_system(folder)
-    system.create_dir(path, recursive=True)
-    own = f"{path}/.{name}.{uuid.uuid4().hex}"
-    with system.open_output_stream(own) as out:
-        out.write(data)
-    if type(system).__name__ != "LocalFileSystem" and system.get_file_info(f"{path}/{name}").is_file:
-        system.delete_file(f"{path}/{name}")
-    system.move(own, f"{path}/{name}")
-
-
 def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str) -> DataFrame:
-    """records: page_id, url, html, first_id, first_url, is_first. Out: a row per archive."""
+    """records: page_id, url, html, first_id, first_url, is_first. Out: a row per archive.
+
+    Names hold a mark of the attempt, so what a lost or repeated task has left is in no list.
+    """
 
     def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         kept = zstandard.ZstdCompressionDict(dictionary)
         press = zstandard.ZstdCompressor(level=6, dict_data=kept)
         lead = struct.pack("<II", DICTIONARY_MAGIC, len(dictionary)) + dictionary
-        part, serial, count, out = TaskContext.get().partitionId(), 0, 0, bytearray(lead)
+        part, serial, count, out = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}", 0, 0, bytearray(lead)
         for pages in batches:
             for page, url, html, first, first_url, is_first in pages.itertuples(index=False):
                 page, first = (None if x is None else int(x) for x in (page, first))
@@ -99,11 +84,11 @@ def write_archives(records: DataFrame, folder: str, dictionary: bytes, date: str
                 )
                 count += 1
                 if len(out) >= ARCHIVE_BYTES:
-                    _publish(folder, name := f"pages-{part:06d}-{serial:05d}.warc.zst", bytes(out))
+                    publish(folder, name := f"pages-{part}-{serial:05d}.warc.zst", bytes(out))
                     yield pd.DataFrame({"archive": [name], "n_records": [count], "n_bytes": [len(out)]})
                     serial, count, out = serial + 1, 0, bytearray(lead)
         if count:
-            _publish(folder, name := f"pages-{part:06d}-{serial:05d}.warc.zst", bytes(out))
+            publish(folder, name := f"pages-{part}-{serial:05d}.warc.zst", bytes(out))
             yield pd.DataFrame({"archive": [name], "n_records": [count], "n_bytes": [len(out)]})
 
     columns = ["page_id", "url", "html", "first_id", "first_url", "is_first"]
@@ -132,10 +117,11 @@ def parse_archive(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         yield headers, block
 
 
-def read_archives(spark, folder: str) -> DataFrame:
-    """A row per record of the archives in folder, its digest checked against the payload.
+def read_archives(spark, folder: str, archives: DataFrame) -> DataFrame:
+    """A row per record of the listed archives in folder, its digest checked against the payload.
 
-    A revisit has no payload; the bytes of the payload it repeats are in its HTTP header.
+    A revisit has no payload; the bytes of the payload it repeats are in its HTTP header. Files
+    that the list lacks, left by attempts that were lost, are not read.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,8 +144,10 @@ def read_archives(spark, folder: str) -> DataFrame:
                     {"page_id": page, "payload_bytes": size, "payload_digest": digest, "record_type": kind, "refers_to": refers}
                 )
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder).select("content")
-    return files.mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.zst").load(folder)
+    # names alone are compared before any content is read; there is one name for ARCHIVE_BYTES of archive
+    files = files.withColumn("archive", F.element_at(F.split("path", "/"), -1)).join(archives.select("archive"), "archive", "left_semi")
+    return files.select("content").mapInPandas(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
@@ -169,6 +157,7 @@ def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     first = base.groupBy("key").agg(
         F.min("page_id").alias("first_id"), F.min_by("url", F.coalesce("page_id", F.lit(2**63 - 1))).alias("first_url")
     )
+    first = written(first, "payloads")  # a written side lets adaptive execution split a payload that very many pages share
     alone = F.octet_length("html") < F.lit(least_bytes)
     return base.join(first, "key").select(
         "page_id", "url", "html", "first_id", "first_url", (alone | F.col("page_id").eqNullSafe(F.col("first_id"))).alias("is_first")
@@ -180,8 +169,10 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01
 
     Pages are grouped by the SHA-256 of their payload (combined before the shuffle); the one of
     the smallest id in a group is a response, the others are revisits of it. A dictionary is
-    fitted on a bounded sample of records (SAMPLE_RECORDS), stands in a leading skippable frame
-    of every archive, and each record is a frame of its own. Tasks publish archives by rename.
+    fitted on a bounded sample (the first SAMPLE_BYTES of SAMPLE_RECORDS pages, those of the least
+    hashes; with too few to train on, the samples are the dictionary), stands in a leading
+    skippable frame of every archive, and each record, whole, is a frame of its own. Tasks publish
+    archives by rename, and only those in the committed list are read.
 
     Defined cases: null html is an empty payload; a null url becomes about:blank; a null id is
     never the first while another id is there; rows repeated with the smallest id are responses
@@ -195,8 +186,8 @@ def warc_round_trip(pages: DataFrame, least_bytes: int = 0, date: str = "2024-01
     if not n:
         return spark.createDataFrame([], schema)
     share = F.pmod(F.xxhash64("page_id", "url"), F.lit(1_000_000)) <= F.lit(int(2e6 * SAMPLE_RECORDS / n))
-    sample = pages.where(share).select("page_id", "url", F.substring(text_of("html"), 1, SAMPLE_BYTES).alias("html")).limit(SAMPLE_RECORDS)
+    sample = pages.where(share).select("page_id", "url", F.substring(text_of("html"), 1, SAMPLE_BYTES).alias("html"))
+    sample = sample.orderBy(F.xxhash64("page_id", "url"), "page_id", "url", "html").limit(SAMPLE_RECORDS)
     records = [make_record(r["page_id"], r["url"], r["html"].encode(), None, None, date) for r in sample.collect()]
     archives = write_archives(with_first(pages, least_bytes), folder, fit_dictionary(records), date)
-    written(archives, "archives")
-    return read_archives(spark, folder)
+    return read_archives(spark, folder, written(archives, "archives"))

@@ -49,6 +49,12 @@ def test_exact_duplicates_and_a_large_group(spark, monkeypatch):
     assert got[24]["text_sha256"] == hashlib.sha256(b"z").hexdigest()
 
 
+def test_exact_duplicates_of_repeated_rows_and_nothing(spark):
+    rows = exact_dedup.exact_dedup(docs(spark, ["a", "a", "b", "b"], [1, 1, None, 3])).collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"], r["group_size"], r["kept"]) for r in rows) == [(-1, 3, 2, False), (1, 1, 2, True), (1, 1, 2, True), (3, 3, 2, True)]
+    assert exact_dedup.exact_dedup(docs(spark, [])).count() == 0
+
+
 def test_colliding_hashes_are_told_apart(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup.F, "md5", lambda c: F.lit("same"))
     got = collect(exact_dedup.exact_dedup(docs(spark, ["a", "b", "a", "b", "c"])))
@@ -73,13 +79,22 @@ def test_shards_follow_the_bytes_before(spark, count):
         before += len(t) + 1
 
 
-def test_shards_with_null_ids_and_repeated_rows(spark):
-    rows = sharding.shard_by_bytes(docs(spark, [None, "a", "b", "c"], [None, 3, 3, -5])).collect()
-    assert len(rows) == 4 and sorted(r["size"] for r in rows) == [1, 2, 2, 2]
-    by_shard = {}
+def balanced_shards(rows, largest):
+    total, held, slots = sum(r["size"] for r in rows), {}, {}
     for r in rows:
-        by_shard.setdefault(r["shard"], []).append(r["slot"])
-    assert all(sorted(s) == list(range(len(s))) for s in by_shard.values())
+        held[r["shard"]] = held.get(r["shard"], 0) + r["size"]
+        slots.setdefault(r["shard"], []).append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+    assert all(abs(held.get(s, 0) - total / 16) <= largest + 1 for s in range(16))
+
+
+@pytest.mark.parametrize("ids", [[7] * 900 + list(range(100)), [None] * 1000, [None] * 400 + [3] * 300 + [9] * 300])
+def test_shards_part_the_rows_of_one_id(spark, ids):
+    rng = random.Random(8)
+    texts = ["same"] * 500 + ["x" * rng.randrange(60) for _ in range(500)]
+    rows = sharding.shard_by_bytes(docs(spark, texts, ids)).collect()
+    assert sorted((r["doc_id"] or -1, r["size"]) for r in rows) == sorted((i or -1, len(t) + 1) for i, t in zip(ids, texts, strict=True))
+    balanced_shards(rows, 61)
 
 
 # -- WARC ---------------------------------------------------------------------------------------
@@ -99,6 +114,14 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.warc_round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_reads_only_listed_archives_and_repeated_rows(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "x"), (2, "v", "x"), (2, "v", "x")], "page_id long, url string, html string")
+    folder = f"file://{tmp_path}/a"
+    common.publish(folder, "pages-000000-stale-00000.warc.zst", b"left by a lost attempt")
+    rows = warc.warc_round_trip(pages, folder=folder).collect()
+    assert sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in rows) == [(1, "response", None)] * 2 + [(2, "revisit", 1)] * 2
+
+
 # -- token files ----------------------------------------------------------------------------------
 
 
@@ -208,6 +231,17 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, members):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n[i], root[i], root[i] == i)
 
 
+def test_near_duplicates_compare_words_and_not_hashes(spark):
+    assert sum(map(len, map(set, [common.word_hashes(balanced(1024)).tolist(), common.word_hashes(balanced(1024).translate({97: "b", 98: "a"})).tolist()]))) == 2
+    texts = [balanced(1024), balanced(1024).translate({97: "b", 98: "a"}), balanced(5000), balanced(5000).translate({97: "b", 98: "a"}), "A " + balanced(1024)]
+    texts += ["one two three four five six", "ONE two three four five six", "one two three four five six one two three four five six"]
+    got = collect(minhash.near_duplicates(docs(spark, texts), percent=85))
+    n, root = naive_components(texts, 85)
+    assert [(got[i]["n_shingles"], got[i]["component_id"]) for i in range(len(texts))] == list(zip(n, root, strict=True))
+    sets = minhash.exact_sets(texts, 5)
+    assert [len(s) for s in sets] == n and len(set(sets[0]) & set(sets[1])) == 0
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = minhash.near_duplicates(docs(spark, ["a b c", "a b c", "a b c"], [4, 4, None])).collect()
@@ -354,6 +388,13 @@ def test_boundaries_are_optimal():
         assert len(chosen) <= k and cost(chosen) == best
 
 
+def test_packing_of_null_ids_repeated_rows_and_one_very_long_text(spark):
+    texts = ["a b"] * 5 + ["w " * 30_001, None]
+    rows = packing.pack_documents(docs(spark, texts, [None, None, 2, 2, 2, 3, 4]), buckets=2, budget=16).collect()
+    assert sorted((r["doc_id"] or -1, r["length"]) for r in rows) == [(-1, 2), (-1, 2), (2, 2), (2, 2), (2, 2), (3, 30_001), (4, 0)]
+    assert max(r["bound"] for r in rows) == 30_008 and len({(r["bucket"], r["batch"], r["place"]) for r in rows}) == 7
+
+
 def test_batches_keep_the_budget(spark, monkeypatch):
     monkeypatch.setattr(packing, "CELL_ROWS", 16)
     rng = random.Random(9)
