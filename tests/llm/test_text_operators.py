@@ -178,6 +178,48 @@ def test_quality_counts_and_bands(spark):
     assert got[len(texts) - 1]["kept"]
 
 
+def test_quality_verdict_equals_a_plain_version_and_each_measure_rejects(spark):
+    import base64
+    import math
+
+    import tiktoken
+
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in open(path, "rb"))}
+    own = tiktoken.Encoding("plain", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    rng = random.Random(21)
+    clean = "The committee met on Tuesday to discuss new plans for the old harbour, and everyone agreed that more time was needed."
+    bits = "00000100011001010011101011011111"  # every window of five once
+    texts = [
+        clean,
+        " ".join(w + "%#*"[rng.randrange(3)] * 3 for w in clean.split()),  # few characters per token
+        " ".join(rng.sample(["responsibilities", "communications", "representatives", "international", "organizations", "relationships", "characteristics", "administration", "opportunities", "understanding", "recommendations", "particularly"], 12)),
+        clean + " " + " ".join("\U00010330\U00010331\U00010332" for _ in range(3)),  # byte fallback
+        " ".join("of" if b == "0" else "the" for b in bits),  # low entropy
+        None, "", "too short", "one\n" * 30,
+    ]
+    langs = ["en"] * 6 + [None, "xx", "de"]
+    rows = spark.createDataFrame([(None if i == 7 else i, t, lang) for i, (t, lang) in enumerate(zip(texts, langs, strict=True))], "doc_id long, text string, lang string")
+    got = collect(quality.quality(rows, path, public_tokenizers.PATTERN))
+    for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
+        n = naive_counts(t)
+        failed = n[0] < 10 or 100 * n[4] > 20 * n[0]
+        ids = own.encode_ordinary(" ".join((t or "").split()))
+        share = [ids.count(x) / len(ids) for x in set(ids)]
+        fallback = 0
+        for x in ids:
+            try:
+                own.decode_single_token_bytes(x).decode()
+            except UnicodeDecodeError:
+                fallback += 1
+        low, high, most, least = quality.BANDS.get(lang, quality.BANDS[None])
+        kept = not failed and low <= n[1] / len(ids) <= high and fallback / len(ids) <= most
+        kept = kept and -sum(p * math.log2(p) for p in share) >= least * math.log2(min(len(ids), quality.ENTROPY_TOKENS))
+        assert (got[None if i == 7 else i]["base_failed"], got[None if i == 7 else i]["kept"]) == (failed, kept), i
+        assert i > 4 or (not failed and kept == (i == 0)), i
+    assert quality.quality(rows.limit(0), path, public_tokenizers.PATTERN).count() == 0
+
+
 def test_quality_rejects_symbol_junk_and_keeps_clean_text(spark):
     data = "/root/testdata/sf0.01"
     rows = spark.read.parquet(f"{data}/documents.parquet")
@@ -471,6 +513,51 @@ def test_toxicity_learns_from_rows_that_are_not_held_out(spark):
     assert none[0]["predicted"] == 0
 
 
+def test_toxicity_model_equals_a_plain_version():
+    rng = random.Random(14)
+    texts = [words(rng, 12, 40) + (" trashy scum" if i % 3 == 0 else "") for i in range(60)]
+    labels = np.array([int(i % 3 == 0) for i in range(60)])
+    sets = [np.unique(toxicity.features(t)) for t in texts]
+    model = toxicity.fit(sets, labels)
+    grams = [set(s.tolist()) for s in sets]
+    ratio = {}
+    for g in set().union(*grams):
+        p, q = (sum(g in s for s, y in zip(grams, labels, strict=True) if y == k) for k in (1, 0))
+        r = np.log((p + 0.5) / (labels.sum() + 1)) - np.log((q + 0.5) / ((1 - labels).sum() + 1))
+        if p + q >= toxicity.LEAST_TEXTS and abs(r) >= toxicity.LEAST_RATIO:
+            ratio[g] = r
+    assert set(np.flatnonzero(model.weight).tolist()) == set(ratio)
+    # Newton steps on the same penalised likelihood reach the same scores
+    names = sorted(ratio)
+    x = np.array([[ratio[g] * (g in s) for g in names] + [0] for s in grams])
+    scale = np.sqrt(np.maximum(1, (x**2).sum(axis=1))).max() / 8
+    x = x / scale
+    x[:, -1] = 1
+    penalty = np.diag([toxicity.RIDGE] * len(names) + [1e-12])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-x @ w))
+        w -= np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) / len(x) + penalty, x.T @ (p - labels) / len(x) + penalty @ w)
+    plain = 1 / (1 + np.exp(-x @ w))
+    own = np.array([toxicity.score_text(t, model) for t in texts])
+    assert ((own >= 0.5) == (plain >= 0.5)).all() and ((own >= 0.5) == labels).all()
+    loss = lambda p: -np.mean(np.where(labels, np.log(p), np.log(1 - p)))
+    assert loss(own) < 0.05 and loss(plain) < 0.05
+
+
+def test_toxicity_of_repeated_rows_null_ids_and_several_labels(spark):
+    rng = random.Random(15)
+    texts = [words(rng, 12, 40) + (" trashy scum" if i % 2 else "") for i in range(80)]
+    ids = [None if i == 0 else i for i in range(80)]
+    marks = spark.createDataFrame([(i, i % 2) for i in range(1, 80)] + [(4, 1), (4, 0)], "doc_id long, toxic int")
+    once = toxicity.train(docs(spark, texts, ids), marks)
+    again = toxicity.train(docs(spark, texts * 3, ids * 3), marks)
+    assert np.array_equal(once.weight, again.weight) and once.constant == again.constant
+    rows = toxicity.toxicity(docs(spark, texts * 2, ids * 2), marks).collect()
+    assert len(rows) == 160 and len({(r["doc_id"], r["score"]) for r in rows}) == 80
+    assert [r["held_out"] for r in rows if r["doc_id"] is None] == [False, False]
+
+
 # -- hashing ----------------------------------------------------------------------------------------------------------
 
 
@@ -511,6 +598,26 @@ def test_pipeline_stages(spark):
     assert out.count() == 4
 
 
+def test_pipeline_of_nothing(spark):
+    import corpus_pipeline
+
+    rows = docs(spark, [None, ""]).select("doc_id", "text", "lang", "source", "n_chars").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        rows = common.written(stage(spark, rows, ""), name)
+    assert rows.count() == 0
+
+
+def test_token_files_and_pieces_of_nothing_and_null_ids(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    assert token_output.token_round_trip(docs(spark, []), path).count() == 0
+    rows = token_output.token_round_trip(docs(spark, ["a", "a", None], [None, 2, 2]), path).collect()
+    assert sorted((r["doc_id"] or -1, r["start"], r["n_tokens"]) for r in rows) == [(-1, 0, 2), (2, 2, 1), (2, 3, 2)]
+    pieces = public_tokenizers.path("piece_bpe_32k.model")
+    assert sentencepiece_codec.codec_round_trip(docs(spark, []), pieces).count() == 0
+    rows = sentencepiece_codec.codec_round_trip(docs(spark, ["a b", "a b", None], [None, 2, 2]), pieces).collect()
+    assert sorted((r["doc_id"] or -1, r["n_words"]) for r in rows) == [(-1, 2), (2, 0), (2, 2)] and all(r["round_trip"] for r in rows)
+
+
 def test_pipeline_keeps_one_row_of_copies_with_shared_and_null_ids(spark):
     import corpus_pipeline
 
