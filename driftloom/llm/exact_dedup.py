@@ -30,10 +30,11 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     base = docs.select(F.col(id_col).alias("doc_id"), F.regexp_replace(text_of(text_col), SPACE, " ").alias("norm"))
     signed = written(base.select("doc_id", F.md5("norm").alias("h"), F.sha2("norm", 256).alias("text_sha256")), "hashes")
     groups = signed.groupBy("h").agg(F.min("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-    # aggregates are written before they are joined, so that adaptive execution may split a hot group
+    # aggregates are written before they are joined, so that adaptive execution may split a hot group;
+    # groups may be as many as rows, so they are never broadcast
     groups = written(groups, "groups")
     copied = groups.where("group_size > 1")
-    texts = written(base.withColumn("h", F.md5("norm")).join(copied, "h").select("h", "doc_id", "norm", "keep_id", "group_size"), "copies")
+    texts = written(base.withColumn("h", F.md5("norm")).join(copied.hint("merge"), "h").select("h", "doc_id", "norm", "keep_id", "group_size"), "copies")
     slices = F.ceil(F.col("group_size") / F.lit(GROUP_SLICE)).cast("int")
     first = (
         texts.where(F.col("doc_id").eqNullSafe(F.col("keep_id")))
@@ -52,7 +53,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     apart = written(collided.select("h", F.sha2("norm", 256).alias("text_sha256"), "own_keep", "own_size"), "collisions")
     keep = F.col("keep_id")
     if apart.isEmpty():  # no two different texts share a hash
-        out = signed.join(groups, "h")
+        out = signed.join(groups.hint("merge"), "h")
     else:
         lost = apart.groupBy("h").agg(F.sum("own_size").alias("lost"))
         fixed = groups.join(lost, "h", "left").select("h", "keep_id", (F.col("group_size") - F.coalesce("lost", F.lit(0))).alias("size"))

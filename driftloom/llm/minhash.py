@@ -114,8 +114,8 @@ def connected(edges: DataFrame) -> DataFrame:
         # aggregates are written before they are joined, so that adaptive execution may split a hub
         least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = written(large.where("a <> b").distinct(), "large")
-        low = written(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = large.where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             low.select("a", F.col("m").alias("b"))
         )
@@ -293,7 +293,8 @@ def near_duplicates(
         more = _dealt(banded.join(open_bands.select("band"), "band").select("node", "band"), "band", open_bands)
         links = links.unionByName(_decided(base, more, words, percent))
     root = connected(links)
-    same = full.join(classes.select(F.col("doc_id").alias("class_id"), "n", "set_a", "set_b"), ["n", "set_a", "set_b"]).select("doc_id", "n", "class_id")
+    own = classes.select(F.col("doc_id").alias("class_id"), "n", "set_a", "set_b").hint("merge")
+    same = full.join(own, ["n", "set_a", "set_b"]).select("doc_id", "n", "class_id")
     joined = same.join(root, F.col("class_id") == F.col("node"), "left")
     labelled = joined.select("doc_id", "n", F.coalesce("root", "class_id").alias("component_id"))
     rest = marks.where("n = 0 or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))
@@ -308,6 +309,6 @@ def near_duplicates(
 def _decided(base: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
     """The links of the units that unit, leader and doc_id name."""
     dealt = written(dealt, "dealt")
-    texts = base.join(dealt.select("doc_id").distinct(), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    texts = written(texts, "unit_texts")
-    return links_of_units(dealt.join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit"), words, percent)
+    # the named documents may be all of them, so they are never broadcast
+    texts = base.join(dealt.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return links_of_units(dealt.hint("merge").join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit"), words, percent)

@@ -468,7 +468,7 @@ def repeated_spans(
     found = written(long.mapInArrow(_contexts_of(kind), _CONTEXT), "contexts_found")
     # aggregates are written before they are joined, so that adaptive execution may split a hot anchor
     repeated = written(found.groupBy("h").agg(F.sum("n").alias("places")).where("places > 1").select("h"), "anchors_repeated")
-    often = written(found.join(repeated, "h"), "contexts_repeated")
+    often = written(found.join(repeated.hint("merge"), "h"), "contexts_repeated")
     once = often.groupBy(*context).agg(F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.min(F.struct(*doc, "lo", "lead", "starts")).alias("stands"))
     once = written(once.select(*context, "n", "stands.*"), "contexts_once")
     great = written(once.groupBy("h").count().where(F.col("count") > UNIT_CONTEXTS).select("h"), "great_anchors")
@@ -486,13 +486,12 @@ def repeated_spans(
 
 def _covered(base: DataFrame, held: DataFrame, often: DataFrame, masks: DataFrame, kind: Kind, id_col: str) -> DataFrame:
     doc, context = ["key", "sig"], ["h", "a", "b"]
-    masks = written(masks, "masks").groupBy(*context).agg(F.collect_list(F.struct("at", "mask")).alias("masks"))
-    masks = written(masks, "masks_by_context")
-    back = often.select(*doc, *context, "n", "lo").join(masks, context).groupBy(*doc).agg(F.collect_list(F.struct(*context, "n", "lo", "masks")).alias("found"))
+    masks = written(masks.groupBy(*context).agg(F.collect_list(F.struct("at", "mask")).alias("masks")), "masks")
+    back = often.select(*doc, *context, "n", "lo").join(masks.hint("merge"), context).groupBy(*doc).agg(F.collect_list(F.struct(*context, "n", "lo", "masks")).alias("found"))
     run, schema = _spans_of(kind)
-    cut = written(held.select(*doc, "text").join(back, doc).mapInArrow(run, schema), "spans")
+    cut = written(held.select(*doc, "text").join(back.hint("merge"), doc).mapInArrow(run, schema), "spans")
     lean = base.select("own_id", *doc, F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
-    return lean.join(cut, doc, "left").select(
+    return lean.join(cut.hint("merge"), doc, "left").select(
         F.col("own_id").alias(id_col),
         "n_bytes",
         F.coalesce("n_removed", F.lit(0)).alias("n_removed"),
@@ -518,7 +517,7 @@ def without_repeats(
     spans = spans.select(key.alias("__id"), F.col("sig").alias("__sig"), F.col("starts").alias("__starts"), F.col("ends").alias("__ends"))
     spans = spans.dropDuplicates(["__id", "__sig"])
     signed = docs.withColumn("__own", F.xxhash64(text_of(text_col)))
-    found = signed.join(spans, (key == F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
+    found = signed.join(spans.hint("merge"), (key == F.col("__id")) & (F.col("__own") == F.col("__sig")), "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -159,7 +159,7 @@ def with_first(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     )
     first = written(first, "payloads")  # a written side lets adaptive execution split a payload that very many pages share
     alone = F.octet_length("html") < F.lit(least_bytes)
-    return base.join(first, "key").select(
+    return base.join(first.hint("merge"), "key").select(
         "page_id", "url", "html", "first_id", "first_url", (alone | F.col("page_id").eqNullSafe(F.col("first_id"))).alias("is_first")
     )
 
