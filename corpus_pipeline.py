@@ -37,7 +37,7 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = marks.select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"), "kept", "count")
     signed = docs.withColumn("__own", own)
     same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__sha"))
-    once = signed.join(marks.where("not kept or count > 1"), same, "left_anti").select(docs.columns)
+    once = signed.join(marks.where("not kept or count > 1").hint("merge"), same, "left_anti").select(docs.columns)
     repeated = marks.where("kept and count > 1")
     if repeated.isEmpty():  # the usual case, without moving the texts once more
         return once
@@ -57,7 +57,7 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     else:
         order = F.col("doc_id").asc_nulls_last(), F.sha2(text_of("text"), 256)
         rows = written(docs.orderBy(*order).withColumn("__row", F.monotonically_increasing_id()), "numbered")
-    dropped = near_duplicates(rows, percent=SIMILARITY, id_col="__row").where("not kept").select("__row")
+    dropped = near_duplicates(rows, percent=SIMILARITY, id_col="__row").where("not kept").select("__row").hint("merge")
     return rows.join(dropped, "__row", "left_anti").select(docs.columns)
 
 
