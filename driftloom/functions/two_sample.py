@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TRAIN, SplitFrame, melt_levels, melt_numbers
+from driftloom.operators.running import running
 
 
 def chi2_tail(spark: SparkSession, statistic: float, df: int) -> float:
@@ -90,20 +91,19 @@ def divergence(counts: DataFrame) -> DataFrame:
 def ecdf(frame: SplitFrame, columns: tuple[str, ...] | None = None) -> DataFrame:
     """column, value, gap: the empirical distributions' difference at each distinct value.
 
-    Counts by value are summed before the window, so ties cost nothing there.
+    Counts by value are summed first, then run along ranges of values; no task sorts a whole column.
     """
     counts = melt_numbers(frame, columns).groupBy("column", "value").agg(
         F.count(F.when(F.col(SPLIT) == TRAIN, 1)).alias("a"), F.count(F.when(F.col(SPLIT) != TRAIN, 1)).alias("b")
     )
-    run = Window.partitionBy("column").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy("column")
-    return counts.select(
+    summed = running(counts, ["column"], "value", ["a", "b"])
+    return summed.select(
         "column",
         "value",
-        F.sum("a").over(whole).alias("n_train"),
-        F.sum("b").over(whole).alias("n_test"),
-        (F.try_divide(F.sum("a").over(run), F.sum("a").over(whole)) - F.try_divide(F.sum("b").over(run), F.sum("b").over(whole))).alias("gap"),
-        F.lead("value").over(Window.partitionBy("column").orderBy("value")).alias("next"),
+        F.col("all_a").alias("n_train"),
+        F.col("all_b").alias("n_test"),
+        (F.try_divide(F.col("before_a") + F.col("a"), F.col("all_a")) - F.try_divide(F.col("before_b") + F.col("b"), F.col("all_b"))).alias("gap"),
+        "next",
     )
 
 

@@ -58,6 +58,20 @@ def pipeline(*steps: Method) -> Method:
     return run
 
 
+def plain_pipeline(*steps: Method) -> Method:
+    """Steps without the categoricals' return: a step after the first that replaces them finds numbers alone."""
+
+    def run(frame: SplitFrame) -> SplitFrame:
+        whole = frame.spec
+        for i, step in enumerate(steps):
+            frame = replace(pipeline(step)(frame), spec=replace(whole, cat=()))
+            if i + 1 < len(steps):
+                frame = replace(frame, spec=replace(frame.spec, num=(*whole.num, *frame.features)))
+        return replace(frame, spec=whole)
+
+    return run
+
+
 def _groups(frame: SplitFrame) -> tuple[str, ...]:
     """Categoricals of at most 100 levels in train."""
     if not frame.spec.cat:
@@ -158,16 +172,16 @@ for _k, _a in {"k10_both": (10, "none"), "k5_both": (5, "none"), "k10_cumshift_b
     METHODS[f"nearest_test_rel_{_k}"] = lambda f, a=_a: neighbors.nearest_test(f, a[0], relative=True, weighting=a[1])
 for _k, _a in {"k15_a05": (15, 0.5), "k10_a05": (10, 0.5), "k15_a08": (15, 0.8)}.items():
     METHODS[f"label_prop_{_k}"] = lambda f, a=_a: propagate.label_propagation(f, *a)
-    METHODS[f"label_prop_weighted_{_k}"] = lambda f, a=_a: propagate.label_propagation(f, *a, weighting="ks")
+    METHODS[f"label_prop_weighted_{_k}"] = lambda f, a=_a: propagate.label_propagation(f, *a, weighting="importance")
 
 
 def _adaptive(frame: SplitFrame) -> int:
     return int(min(50, max(5, frame.df.count() ** 0.5)))
 
 
-METHODS["label_prop_weighted_adaptive_a05"] = lambda f: propagate.label_propagation(f, _adaptive(f), 0.5, weighting="ks")
-for _k, _n in {"t005_k15": 15, "t01_k15": 15, "t005_k10": 10, "adaptive": None}.items():
-    METHODS[f"label_prop_v3_{_k}"] = lambda f, n=_n: propagate.label_propagation(f, n or _adaptive(f), 0.5, weighting="filter")
+METHODS["label_prop_weighted_adaptive_a05"] = lambda f: propagate.label_propagation(f, _adaptive(f), 0.5, weighting="importance")
+for _k, (_n, _t) in {"t005_k15": (15, 0.05), "t01_k15": (15, 0.1), "t005_k10": (10, 0.05), "adaptive": (None, 0.05)}.items():
+    METHODS[f"label_prop_v3_{_k}"] = lambda f, n=_n, t=_t: propagate.label_propagation(f, n or _adaptive(f), 0.5, weighting="filter", threshold=t)
 METHODS["ot_displacement_mag"] = transport.displacement
 METHODS["ot_displacement_no_mag"] = lambda f: transport.displacement(f, magnitude=False)
 for _k, _a in {
@@ -248,6 +262,7 @@ for _mode, _parts in _STEPS.items():
         for _c in combinations("ftgp", _n):
             if "".join(_c) in ("g", "ft", "fg", "fp", "tg", "tp", "gp", "ftg", "ftp", "fgp", "tgp", "ftgp"):
                 COMPOSED[f"lattice_{''.join(_c)}_{_mode}"] = pipeline(*[_parts[s] for s in _c])
-    COMPOSED[f"lattice_fgp_plain_{_mode}"] = COMPOSED[f"lattice_fgp_{_mode}"]
-    COMPOSED[f"composed_fgp_{_mode}"] = COMPOSED[f"lattice_fgp_{_mode}"]
-    COMPOSED[f"composed_fg_{_mode}"] = COMPOSED[f"lattice_fg_{_mode}"]
+    _whole = grouped("combined" if _mode == "joint" else "train_only")
+    COMPOSED[f"lattice_fgp_plain_{_mode}"] = plain_pipeline(_parts["f"], _parts["g"], _parts["p"])
+    COMPOSED[f"composed_fgp_{_mode}"] = pipeline(_parts["f"], _whole, _parts["p"])
+    COMPOSED[f"composed_fg_{_mode}"] = pipeline(_parts["f"], _whole)

@@ -19,7 +19,7 @@ def _learner(kind: str, label: str, seed: int, depth: int = 4, trees: int = 100)
         return LogisticRegression(featuresCol="x", labelCol=label, standardization=True, maxIter=100)
     if kind == "rf":
         return RandomForestClassifier(featuresCol="x", labelCol=label, numTrees=trees, maxDepth=depth, seed=seed)
-    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=depth, maxIter=min(trees, 30), stepSize=0.1, seed=seed)
+    return GBTClassifier(featuresCol="x", labelCol=label, maxDepth=depth, maxIter=trees, stepSize=0.1, seed=seed)
 
 
 def matrix(frame: SplitFrame) -> DataFrame:
@@ -59,14 +59,19 @@ def domain_scores(frame: SplitFrame, classifier: str = "lgbm", folds: int = 5, s
     from pyspark.ml.functions import vector_to_array
 
     rows = matrix(frame).withColumn("y", (F.col(SPLIT) == TEST).cast("double")).withColumn("fold", row_fold(frame.ids, folds)).persist()
-    parts = None
+    raw = None
     for fold in range(folds):
-        rest = rows.where(F.col("fold") != fold)
-        model = _learner(classifier, "y", seed + fold).fit(rest)
-        score = lambda df: model.transform(df).withColumn("p", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "prediction")  # noqa: B023, E731
-        own = _calibrated(score(rows.where(F.col("fold") == fold)), score(rest), calibrate)
-        own = own.select(*frame.ids, F.col(SPLIT).alias("split"), F.col("p").alias("domain_score"))
-        parts = own if parts is None else parts.unionByName(own)
+        model = _learner(classifier, "y", seed + fold).fit(rows.where(F.col("fold") != fold))
+        own = model.transform(rows.where(F.col("fold") == fold)).withColumn("p", vector_to_array("probability")[1])
+        own = own.drop("rawPrediction", "probability", "prediction", "x")
+        raw = own if raw is None else raw.unionByName(own)
+    parts = raw
+    if calibrate:  # each fold by a fit on the out-of-fold scores of the others
+        raw, parts = cut(raw), None
+        for fold in range(folds):
+            own = _calibrated(raw.where(F.col("fold") == fold), raw.where(F.col("fold") != fold), calibrate)
+            parts = own if parts is None else parts.unionByName(own)
+    parts = parts.select(*frame.ids, F.col(SPLIT).alias("split"), F.col("p").alias("domain_score"))
     return parts
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.frame import MISSING, SPLIT, TARGET, TEST, TRAIN, SplitFrame, attach, level, melt_levels
-from driftloom.functions.tests import chi2_statistic, chi2_tail
+from driftloom.functions.two_sample import chi2_statistic, chi2_tail
 
 
 def _in(split: str) -> Column:

@@ -142,15 +142,17 @@ def exact_sample(rows: DataFrame, n: int, ids: list[str], seed: int = 0) -> Data
     return rows.orderBy(F.xxhash64(*ids, F.lit(seed)), *ids).limit(n)
 
 
-def bootstrap(rows: DataFrame, ids: list[str], n: int, seed: int = 0) -> DataFrame:
-    """n rows drawn with replacement: random places joined to dense ones."""
+def bootstrap(rows: DataFrame, ids: list[str], n: int, seed: int = 0, cell_rows: int = 100_000) -> DataFrame:
+    """n rows drawn with replacement: random places joined to dense ones, ranked in cells of about cell_rows."""
     spark = rows.sparkSession
-    counts = rows.groupBy(F.pmod(F.xxhash64(*ids), F.lit(64)).alias("__c")).count()
-    before = F.sum("count").over(Window.orderBy("__c")) - F.col("count")  # 64 rows
+    total = rows.count()
+    cells = max(1, -(-total // cell_rows))
+    cell = F.pmod(F.xxhash64(*ids), F.lit(cells))
+    counts = rows.groupBy(cell.alias("__c")).count()  # one row for each cell
+    before = F.sum("count").over(Window.orderBy("__c")) - F.col("count")
     own = F.row_number().over(Window.partitionBy("__c").orderBy(*ids))
-    placed = rows.withColumn("__c", F.pmod(F.xxhash64(*ids), F.lit(64))).withColumn("__own", own).join(F.broadcast(counts.select("__c", before.alias("__b"))), "__c")
+    placed = rows.withColumn("__c", cell).withColumn("__own", own).join(counts.select("__c", before.alias("__b")), "__c")
     placed = placed.withColumn("__place", F.col("__own") + F.col("__b") - 1).drop("__c", "__own", "__b")
-    total = rows.count()
     draws = spark.range(n).select(F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(max(total, 1))).alias("__place"))
     return draws.join(placed, "__place").drop("__place")
 
@@ -160,3 +162,30 @@ def file_contract(rows: DataFrame) -> DataFrame:
     cells = [F.coalesce(F.col(c).cast("string"), F.lit("\u0000")) for c in rows.columns]
     h = F.xxhash64(F.concat_ws("\u0001", *cells)).cast("decimal(38,0)")
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(h).cast("string").alias("fingerprint"))
+
+
+def inner_suffixed(left: DataFrame, right: DataFrame, key: str, suffixes: tuple[str, str] = ("_x", "_y")) -> DataFrame:
+    """An inner equi-join; columns that both sides have get a suffix each."""
+    shared = {c for c in left.columns if c in right.columns and c != key}
+    own = left.select(*[F.col(c).alias(c + suffixes[0]) if c in shared else F.col(c) for c in left.columns])
+    other = right.select(*[F.col(c).alias(c + suffixes[1]) if c in shared else F.col(c) for c in right.columns])
+    return own.join(other, key)
+
+
+def sanitised(names: list[str]) -> list[str]:
+    """Names of letters, digits and underscores alone, told apart by a number where they meet."""
+    import re
+
+    out: list[str] = []
+    for name in names:
+        plain = re.sub(r"[^0-9A-Za-z_]+", "_", name).strip("_") or "column"
+        new, k = plain, 1
+        while new in out:
+            new, k = f"{plain}_{k}", k + 1
+        out.append(new)
+    return out
+
+
+def preview(rows: DataFrame, order: list[str], n: int = 50) -> DataFrame:
+    """The first n rows, to look at."""
+    return rows.orderBy(*order).limit(n)

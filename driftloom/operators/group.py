@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TEST, TRAIN, SplitFrame, level
-from driftloom.functions.tests import chi2_statistic, ks, ks_tail, split_counts
+from driftloom.functions.two_sample import chi2_statistic, ks, ks_tail, split_counts
 
 #: Aggregates that may be asked for by name.
 AGGREGATES = {

@@ -30,8 +30,8 @@ class Predictor:
         if self.name == "tree":
             return (C.DecisionTreeClassifier if task == "classification" else R.DecisionTreeRegressor)(**own, maxDepth=8, seed=seed)
         if self.name == "forest":
-            return (C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor)(**own, numTrees=50, maxDepth=8, seed=seed)
-        return (C.GBTClassifier if task == "classification" else R.GBTRegressor)(**own, maxIter=40, maxDepth=5, stepSize=0.1, seed=seed)
+            return (C.RandomForestClassifier if task == "classification" else R.RandomForestRegressor)(**own, numTrees=200, maxDepth=8, seed=seed)
+        return (C.GBTClassifier if task == "classification" else R.GBTRegressor)(**own, maxIter=300, maxDepth=5, stepSize=0.1, seed=seed)
 
 
 #: Keys of the boosted libraries map to the boosted trees that Spark has.

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.frame import ROLE, SPLIT, SRC_ID, SRC_SPLIT, TARGET, TEST, TRAIN, WEIGHT, SplitFrame
-from driftloom.functions.tests import ks
+from driftloom.functions.two_sample import ks
 from driftloom.operators.encode import frequency
 from driftloom.operators.scale import impute_median, zscore
 from driftloom.operators.select import select_cumulative
@@ -20,11 +20,20 @@ from driftloom.operators.select import select_cumulative
 BLOCK = 1024
 
 
-def space(frame: SplitFrame, columns: tuple[str, ...] | None = None, weighting: str = "none") -> DataFrame:
+def importance(frame: SplitFrame, columns: tuple[str, ...]) -> dict[str, float]:
+    """The absolute correlation of every column with the target in train; 0 where one is constant."""
+    cells = [F.corr(F.col(c).cast("double"), TARGET).alias(c) for c in columns]
+    row = frame.train.agg(*cells).first()  # one row
+    return {c: 0.0 if row[c] is None or row[c] != row[c] else abs(row[c]) for c in columns}
+
+
+def space(frame: SplitFrame, columns: tuple[str, ...] | None = None, weighting: str = "none", threshold: float = 0.05) -> DataFrame:
     """id, split, vec: frequencies of the categoricals and imputed numerics, scaled over both splits.
 
-    weighting `cumshift` and `filter` keep the columns that shift; `ks` multiplies each by the
-    root of its share of the shift.
+    weighting `cumshift` keeps the columns that hold most of the shift; `ks` multiplies each by the
+    root of its share of the shift. `importance` and `filter` weigh a column by its shift times its
+    absolute correlation with the target in train: `importance` as `ks` does, while `filter` keeps
+    the columns of at least `threshold` of the greatest weight, and three at least.
     """
     (key,) = frame.ids
     if frame.spec.cat:
@@ -35,8 +44,16 @@ def space(frame: SplitFrame, columns: tuple[str, ...] | None = None, weighting:
     if weighting != "none":
         shift = {r["column"]: float(r["ks"]) for r in ks(frame, columns).collect()}
         scores = {c: shift.get(c, 0.0) for c in columns}
-        if weighting in ("cumshift", "filter"):
-            picked = select_cumulative(scores) if weighting == "cumshift" else [c for c in columns if scores[c] >= 0.05] or list(columns)
+        if weighting in ("importance", "filter"):
+            with_label = importance(frame, columns)
+            scores = {c: scores[c] * with_label[c] for c in columns}
+        if weighting == "cumshift":
+            picked = select_cumulative(scores)
+            columns = tuple(c for c in columns if c in picked)
+        elif weighting == "filter":
+            ranked = sorted(columns, key=lambda c: -scores[c])
+            most = scores[ranked[0]] if ranked else 0.0
+            picked = {*ranked[:3], *[c for c in ranked if scores[c] >= threshold * most]}
             columns = tuple(c for c in columns if c in picked)
         else:
             total = sum(scores.values())

@@ -56,10 +56,10 @@ def propagate(
     return state.select("id", "run", "f")
 
 
-def label_propagation(frame: SplitFrame, k: int = 15, alpha: float = 0.5, folds: int = 5, iterations: int = 100, weighting: str = "none") -> SplitFrame:
+def label_propagation(frame: SplitFrame, k: int = 15, alpha: float = 0.5, folds: int = 5, iterations: int = 100, weighting: str = "none", threshold: float = 0.05) -> SplitFrame:
     """`label_prop_soft`: for train rows the value while their fold was unknown, for test rows the mean over folds."""
     (key,) = frame.ids
-    edges = graph(space(frame, weighting=weighting), k).persist()
+    edges = graph(space(frame, weighting=weighting, threshold=threshold), k).persist()
     runs = F.explode(F.sequence(F.lit(0), F.lit(folds - 1)))
     mean = frame.train.agg(F.avg(TARGET).alias("mean"))  # one row
     rows = frame.df.select(F.col(key).alias("id"), SPLIT, TARGET, row_fold((key,), folds).alias("fold")).crossJoin(F.broadcast(mean))

@@ -46,3 +46,34 @@ def flat_record(record: dict, metadata: dict, reserved: set[str]) -> dict:
     """A result row: metadata under meta_, long lists left out, reserved names untouched."""
     kept = {k: v for k, v in metadata.items() if not (isinstance(v, (list, tuple, dict)) and len(v) > 10)}
     return record | {f"meta_{k}" if k in reserved or not k.startswith("meta_") else k: v for k, v in kept.items()}
+
+
+def costly_first(tasks: DataFrame) -> DataFrame:
+    """Tasks in the order in which they should start: the costly ones first, then by key."""
+    return tasks.orderBy(F.col("cost").desc(), *KEY)
+
+
+def write_sweep(results: DataFrame, folder: str) -> None:
+    """All results of a sweep as CSV with a header, in the order of their keys."""
+    results.orderBy(*[k for k in KEY if k in results.columns]).write.option("header", True).csv(folder)
+
+
+def summary(datasets: dict, diagnose) -> list[dict]:
+    """A row for each dataset: what diagnose(frame) gives, or the error that it raised; one bad dataset stops no other."""
+    out = []
+    for name, frame in datasets.items():
+        try:
+            out.append({"dataset": name, "error": None} | diagnose(frame() if callable(frame) else frame))
+        except Exception as error:  # reported beside the others
+            out.append({"dataset": name, "error": f"{type(error).__name__}: {error}"})
+    return out
+
+
+def chains(draws: list[dict], methods: dict) -> dict:
+    """A pipeline for each draw {"name", "steps"}; a step that no method has is an error."""
+    from driftloom.operators.compose import pipeline
+
+    unknown = sorted({s for d in draws for s in d["steps"]} - set(methods))
+    if unknown:
+        raise KeyError(f"unknown steps: {unknown}")
+    return {d["name"]: pipeline(*[methods[s] for s in d["steps"]]) for d in draws}

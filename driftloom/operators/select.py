@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TARGET, TEST, TRAIN, SplitFrame
-from driftloom.functions.tests import chi2_normalised, chi2_statistic, chi2_tail, cramers_v, ks, ks_tail, split_counts
+from driftloom.functions.two_sample import chi2_normalised, chi2_statistic, chi2_tail, cramers_v, ks, ks_tail, split_counts
 
 
 @dataclass(frozen=True)

@@ -83,3 +83,23 @@ def choose_windows(scores: DataFrame) -> DataFrame:
     """kind, window: the newest, the oldest, and the one of the greatest score; scores has window, score."""
     ends = scores.agg(F.max("window").alias("near"), F.min("window").alias("far"), F.max_by("window", F.struct(F.col("score"), -F.col("window"))).alias("maxdiff"))
     return ends.select(F.expr("stack(3, 'near', near, 'far', far, 'maxdiff', maxdiff) AS (kind, window)"))
+
+
+def write_versions(frame: SplitFrame, rows: DataFrame, time: str, plan: Windows, choice: DataFrame, write) -> list[tuple[str, int]]:
+    """Write each chosen window once, under its first name; a window that reaches into the time of test is refused.
+
+    choice has kind and window (see choose_windows); write(kind, rows) stores the rows of one.
+    """
+    from driftloom.frame import ContractError
+
+    done: dict[int, str] = {}
+    for r in sorted(choice.collect(), key=lambda r: ("near", "far", "maxdiff").index(r["kind"])):  # three rows
+        if r["window"] in done:
+            continue
+        own = rows.where(F.col("window") == r["window"])
+        ends = own.agg(F.max(F.when(F.col(SPLIT) == TRAIN, F.col(time))).alias("a"), F.min(F.when(F.col(SPLIT) == TEST, F.col(time))).alias("b")).first()
+        if ends["a"] >= ends["b"]:
+            raise ContractError("train reaches into the time of test")
+        write(r["kind"], own)
+        done[r["window"]] = r["kind"]
+    return [(k, w) for w, k in done.items()]

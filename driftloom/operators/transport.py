@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TEST, TRAIN, SplitFrame, melt_numbers
-from driftloom.functions.tests import ks, ks_tail
+from driftloom.functions.two_sample import ks, ks_tail
 from driftloom.operators.encode import label_codes
 from driftloom.operators.scale import impute_median
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("encoding", "grouping", "diagnostics", "geometry", "preparation", "composition")
+FAMILIES = ("encoding", "grouping", "diagnostics", "geometry", "preparation", "composition", "intake")
 
 
 def _load():

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from driftloom.functions import tests as D
+from driftloom.functions import two_sample as D
 from driftloom.operators import encode as E
 from driftloom.operators import select as L
 from driftloom.plans.catalog import LI_CATS, LI_KEYS, LI_NUMS, LI_SQL, lineitems, query, r6

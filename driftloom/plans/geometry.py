@@ -14,7 +14,7 @@ from driftloom.operators import propagate as P
 from driftloom.operators import transport as T
 from driftloom.plans.catalog import EV_SQL, LI_SQL, emb_sql, event_frame, lineitems, orders, query, r6, table, vectors
 
-DIMS = 8
+DIMS = 64
 _E = [f"e{i}" for i in range(DIMS)]
 
 
@@ -277,17 +277,17 @@ def pseudo_label_round(spark, sf_dir):
 
 @query("kmeans_membership")
 def kmeans_membership(spark, sf_dir):
-    return C.cluster_membership(vectors(spark, sf_dir, DIMS), 5, starts=2).output()
+    return C.cluster_membership(vectors(spark, sf_dir, DIMS), 5).output()
 
 
 @query("leaf_density_rf")
 def leaf_density_rf(spark, sf_dir):
     frame = vectors(spark, sf_dir, DIMS)
-    return C.leaf_density(frame, trees=20, depth=4, folds=2).output()
+    return C.leaf_density(frame, trees=100, depth=6).output()
 
 
 @query("label_prop_soft")
 def label_prop_soft(spark, sf_dir):
-    return P.label_propagation(vectors(spark, sf_dir, DIMS), 5, 0.5, folds=3, iterations=10).output()
+    return P.label_propagation(vectors(spark, sf_dir, DIMS), 5, 0.5).output()
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TRAIN
 from driftloom.functions import metrics as M
-from driftloom.functions import tests as D
+from driftloom.functions import two_sample as D
 from driftloom.operators import etl as X
 from driftloom.operators import runs as R
 from driftloom.operators import temporal as G
@@ -323,11 +323,3 @@ def synthetic_shift(spark, sf_dir):
         one = D.ks(synthetic(spark, 4000, 4000, strength)).select(F.lit(strength).alias("strength"), F.col("column").alias("feature"), "ks")
         out = one if out is None else out.unionByName(one)
     return out
-
-
-@query(
-    "table_fingerprint",
-    "SELECT count(*) AS n FROM nation",
-)
-def table_fingerprint(spark, sf_dir):
-    return X.file_contract(table(spark, sf_dir, "nation")).select(F.col("rows").alias("n"))

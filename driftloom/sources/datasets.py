@@ -161,6 +161,96 @@ def parquet_shape(path: str) -> tuple[int, int]:
     return data.count_rows(), len(data.schema.names)
 
 
+def read_zipped_csv(spark: SparkSession, path: str, member: str, null: str = "NA", columns: list[str] | None = None) -> DataFrame:
+    """One CSV of a ZIP archive. An archive can't be split: one task unpacks it, and the rows are dealt out."""
+    import io
+    import zipfile
+
+    def lines(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch["content"]:
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as archive, archive.open(member) as text:
+                    held = []
+                    for line in io.TextIOWrapper(text, encoding="utf-8"):
+                        held.append(line.rstrip("\r\n"))
+                        if len(held) == 10_000:
+                            yield pa.RecordBatch.from_arrays([pa.array(held)], ["value"])
+                            held = []
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.string())], ["value"])
+
+    rows = spark.read.format("binaryFile").load(path).select("content").mapInArrow(lines, "value string")
+    head = rows.first()["value"].split(",")
+    cells = F.from_csv("value", F.lit(", ".join(f"`{c}` string" for c in head)), {"nullValue": null})
+    out = rows.where(F.col("value") != ",".join(head)).select(cells.alias("r")).select("r.*").repartition(spark.sparkContext.defaultParallelism)
+    return out.select(*columns) if columns else out
+
+
+def unpack_archive(spark: SparkSession, path: str, target: str, pattern: str = "") -> DataFrame:
+    """member, n_bytes of every file of TAR or ZIP archives, written below target by the tasks that read them."""
+
+    def unpack(batches):
+        import io
+        import os
+        import tarfile
+        import zipfile
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(target)
+        for batch in batches:
+            names, sizes = [], []
+            for content in batch["content"]:
+                data = io.BytesIO(content.as_py())
+                if zipfile.is_zipfile(data):
+                    archive = zipfile.ZipFile(data)
+                    files = [(n, archive.read(n)) for n in archive.namelist() if not n.endswith("/")]
+                else:
+                    data.seek(0)
+                    archive = tarfile.open(fileobj=data)
+                    files = [(m.name, archive.extractfile(m).read()) for m in archive.getmembers() if m.isfile()]
+                for name, inner in files:
+                    safe = os.path.normpath(name)
+                    if pattern not in name or safe.startswith(("..", "/")):  # nothing is written outside the target
+                        continue
+                    system.create_dir(os.path.dirname(f"{root}/{safe}"), recursive=True)
+                    with system.open_output_stream(f"{root}/{safe}") as out:
+                        out.write(inner)
+                    names.append(safe)
+                    sizes.append(len(inner))
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(sizes, pa.int64())], ["member", "n_bytes"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(unpack, "member string, n_bytes long")
+
+
+def streamed_sample(rows: DataFrame, ids: list[str], fraction: float, keep: Column | None = None, seed: int = 0) -> DataFrame:
+    """Rows that satisfy keep, each with the probability `fraction` by a hash of its ids; nothing is collected."""
+    rows = rows if keep is None else rows.where(keep)
+    return rows.where((F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 40)) / float(1 << 40)) < fraction)
+
+
+def stratified_split(rows: DataFrame, target: str, ids: list[str], test_share: float = 0.2, seed: int = 0) -> DataFrame:
+    """SPLIT for every row: of each target value the nearest whole number to the share tests.
+
+    Rows are ranked by a hash inside cells of a target value, so one frequent value is not one task.
+    """
+    from pyspark.sql import Window
+
+    h = F.pmod(F.xxhash64(*ids, F.lit(seed)), F.lit(1 << 20))
+    keyed = rows.withColumn("__h", h)
+    counts = keyed.groupBy(target, "__h").agg(F.count(F.lit(1)).alias("__n"))
+    from driftloom.operators.running import running
+
+    counts = counts.withColumn("__t", F.coalesce(F.col(target).cast("string"), F.lit("\0")))
+    summed = running(counts, ["__t"], "__h", ["__n"]).select("__t", "__h", F.col("before___n").alias("__b"), F.col("all___n").alias("__all"))
+    own = F.row_number().over(Window.partitionBy("__t", "__h").orderBy(*ids))
+    placed = keyed.withColumn("__t", F.coalesce(F.col(target).cast("string"), F.lit("\0"))).join(summed, ["__t", "__h"])
+    test = F.col("__b") + own <= F.round(F.col("__all") * test_share)
+    return placed.withColumn(SPLIT, F.when(test, TEST).otherwise(TRAIN)).select(*rows.columns, SPLIT)
+
+
 # -- named datasets: how each splits its rows ----------------------------------------------------------
 
 
@@ -180,17 +270,21 @@ def diabetes_hospital(rows: DataFrame, cat: tuple[str, ...], num: tuple[str, ...
 
 
 def icd9_group(code: Column) -> Column:
-    """Chapters of the ICD-9 by their fixed ranges."""
-    n = code.try_cast("double")
-    within = lambda a, b: (n >= a) & (n < b + 1)
+    """Chapters of the ICD-9 by their fixed ranges; V and E codes, and unknown ones, have groups of their own."""
+    n = F.regexp_replace(code, "[EV]", "").try_cast("double")
+    within = lambda a, b: (n >= a) & (n <= b)
     return (
-        F.when(code.startswith("250"), "diabetes")
-        .when(within(390, 459) | (F.floor(n) == 785), "circulatory")
-        .when(within(460, 519) | (F.floor(n) == 786), "respiratory")
-        .when(within(520, 579) | (F.floor(n) == 787), "digestive")
+        F.when(code.isNull() | (code == "?"), "unknown")
+        .when(n.isNull(), "other")
+        .when(code.startswith("V"), "supplementary")
+        .when(code.startswith("E"), "external_causes")
+        .when(within(390, 459) | (n == 785), "circulatory")
+        .when(within(460, 519) | (n == 786), "respiratory")
+        .when(within(520, 579) | (n == 787), "digestive")
+        .when((n >= 250) & (n < 251), "diabetes")
         .when(within(800, 999), "injury")
         .when(within(710, 739), "musculoskeletal")
-        .when(within(580, 629) | (F.floor(n) == 788), "genitourinary")
+        .when(within(580, 629) | (n == 788), "genitourinary")
         .when(within(140, 239), "neoplasms")
         .otherwise("other")
     )
@@ -209,6 +303,34 @@ def lending_club(rows: DataFrame, cat: tuple[str, ...], num: tuple[str, ...]) ->
     return bind(ended, ["id"], FeatureSpec(cat, num), F.col("issue_year") <= 2014, F.col("loan_status").isin(*bad).cast("double"))
 
 
+def state_column(rows: DataFrame) -> DataFrame:
+    """Census files from 2019 on name the state otherwise."""
+    return rows.withColumnRenamed("STATE", "ST") if "STATE" in rows.columns and "ST" not in rows.columns else rows
+
+
+def brfss(rows: DataFrame, regions: dict[int, str], target: str, positive: list[int], negative: list[int], cat: tuple[str, ...], num: tuple[str, ...], train: tuple[str, ...], ids: list[str]) -> SplitFrame:
+    """Survey rows by census region: regions maps state codes, other states and other answers go.
+
+    Targets _RFHYPE count 2 as yes and 1 as no. Numbers 77 and 99 stand for no answer, 88 for none.
+    """
+    if target.startswith("_RFHYPE"):
+        positive, negative = [2], [1]
+    where = F.element_at(F.create_map(*[F.lit(x) for kv in regions.items() for x in kv]), F.col("_STATE").cast("int"))
+    kept = rows.withColumn("region", where).where(F.col("region").isNotNull() & F.col(target).isin(*positive, *negative))
+    kept = kept.withColumns({c: F.coalesce(F.col(c).cast("int"), F.lit(-1)).cast("string") for c in cat})
+    kept = kept.withColumns({c: F.when(F.col(c).isin(77, 99), None).when(F.col(c) == 88, 0.0).otherwise(F.col(c).cast("double")) for c in num})
+    return bind(kept, ids, FeatureSpec(cat, num), F.col("region").isin(*train), F.col(target).isin(*positive).cast("double"))
+
+
+def load(spark: SparkSession, name: str, root: str | None = None, **options) -> SplitFrame:
+    """The frame of a named dataset: generated ones by name, others from their folder below the root."""
+    if name == "synthetic":
+        return synthetic(spark, **options)
+    if name not in DATASETS:
+        raise KeyError(f"unknown dataset {name!r}; there are {sorted(DATASETS)}")
+    return load_folder(spark, f"{find_root(root)}/{name}", name, **options).frame
+
+
 def by_state(rows: DataFrame, state: str, train: tuple[str, ...], spec: FeatureSpec, ids: list[str], target: str) -> SplitFrame:
     """Census-like tables: some states train, the others test."""
     return bind(rows, ids, spec, F.col(state).isin(*train), F.col(target).cast("double"))
@@ -225,33 +347,78 @@ def by_batch(rows: DataFrame, batch: str, last: int, spec: FeatureSpec, ids: lis
     return bind(rows, ids, spec, F.col(batch) <= last, F.col(target).cast("double"))
 
 
-def synthetic(spark: SparkSession, n_train: int, n_test: int, strength: float = 1.0, mode: str = "full", prevalence: float = 0.5, seed: int = 42) -> SplitFrame:
-    """A census-like table whose test split is shifted by strength; `partial` shifts some columns, `label_shift` the label alone."""
+# Fixed values of the synthetic census: shares without a shift, what one unit of shift adds, and
+# the least share before the shares are scaled to one.
+_SHARES = {
+    "SCHL": ([0.02, 0.02, 0.03, 0.03, 0.04, 0.05, 0.06, 0.07, 0.08, 0.09, 0.10, 0.10, 0.09, 0.08, 0.07, 0.07], [-0.01 + 0.02 * i / 15 for i in range(16)], 0.005),
+    "OCCP": ([0.18, 0.15, 0.15, 0.20, 0.17, 0.15], [0.02, -0.01, 0.04, -0.02, -0.03, 0.00], 0.02),
+    "MAR": ([0.45, 0.30, 0.15, 0.10], [-0.03, 0.03, 0.01, -0.01], 0.02),
+    "ST": ([0.25, 0.20, 0.20, 0.18, 0.17], [-0.01, 0.03, -0.02, 0.02, -0.02], 0.02),
+}
+_LEVELS = {
+    "SCHL": [float(i) for i in range(1, 17)],
+    "OCCP": ["mgmt", "sales", "tech", "service", "labor", "office"],
+    "MAR": ["married", "single", "divorced", "widowed"],
+    "ST": ["CA", "TX", "NY", "FL", "IL"],
+}
+_OCCP_SCORE = {"mgmt": 1.5, "tech": 1.2, "office": 0.3, "sales": 0.5, "service": -0.5, "labor": -0.3}
+_MAR_SCORE = {"married": 0.5, "single": -0.2, "divorced": -0.1, "widowed": -0.3}
+_PARTIAL = ("AGEP", "SCHL", "OCCP")
+
+
+def _cumulative(column: str, strength: float) -> list[float]:
+    base, tilt, least = _SHARES[column]
+    share = [max(b + t * strength, least) for b, t in zip(base, tilt, strict=True)]
+    return [sum(share[: i + 1]) / sum(share) for i in range(len(share))]
+
+
+def synthetic(spark: SparkSession, n_train: int, n_test: int, strength: float = 1.0, mode: str = "full", prevalence: float = 0.65, seed: int = 42) -> SplitFrame:
+    """A census-like table whose test split is shifted by strength.
+
+    `partial` shifts three columns; `label_shift` keeps what columns are like given the label, and
+    the share of positive labels in test is the prevalence.
+    """
     if mode not in ("full", "partial", "label_shift"):
         raise ValueError(f"unknown mode {mode!r}")
-    n = n_train + n_test
     u = lambda k: (F.pmod(F.xxhash64("row_id", F.lit(seed), F.lit(k)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     normal = lambda k: F.sqrt(-2 * F.ln(u(k))) * F.cos(2 * 3.141592653589793 * u(k + 100))
-    s = F.when(F.col("row_id") >= n_train, 0.0 if mode == "label_shift" else float(strength)).otherwise(0.0)
-    part = F.lit(0.0) if mode == "partial" else s
-    pick = lambda k, names: F.element_at(F.array(*[F.lit(x) for x in names]), (F.floor(u(k) * len(names)) + 1).cast("int"))
+    by = lambda c: 0.0 if mode == "label_shift" or (mode == "partial" and c not in _PARTIAL) else float(strength)
+    in_test = F.col("row_id") >= n_train
+    s = lambda c: F.when(in_test, by(c)).otherwise(0.0)
+
+    def pick(k: int, column: str) -> Column:
+        """The level whose stretch of the shares holds the draw."""
+
+        def drawn(strength: float) -> Column:
+            out = F.lit(_LEVELS[column][-1])
+            for name, upper in reversed(list(zip(_LEVELS[column], _cumulative(column, strength), strict=True))[:-1]):
+                out = F.when(u(k) < upper, F.lit(name)).otherwise(out)
+            return out
+
+        return F.when(in_test, drawn(by(column))).otherwise(drawn(0.0))
+
     clip = lambda x, a, b: F.greatest(F.lit(a), F.least(F.lit(b), x))
-    rows = spark.range(n).withColumnRenamed("id", "row_id").select(
+    # with a label shift, test rows are taken from enough draws of both labels
+    draws = n_test * (2 + int(4 * max(prevalence, 1 - prevalence))) if mode == "label_shift" else n_test
+    rows = spark.range(n_train + draws).withColumnRenamed("id", "row_id").select(
         "row_id",
-        clip(40 + 2 * s + 12 * normal(1), 16.0, 90.0).alias("AGEP"),
-        clip(F.ceil(16 * F.pow(u(2), 1 / (1 + 0.2 * s))), 1.0, 16.0).cast("double").alias("SCHL"),
-        clip(40 + 1.5 * s + 10 * normal(3), 1.0, 80.0).alias("WKHP"),
-        pick(4, ("mgmt", "sales", "tech", "service", "labor", "office")).alias("OCCP"),
-        pick(5, ("married", "single", "divorced", "widowed")).alias("MAR"),
-        pick(6, ("CA", "TX", "NY", "FL", "IL")).alias("ST"),
-        clip(-(500 + 200 * part) * F.ln(u(7)), 0.0, 1e5).alias("CAPITALGAIN"),
-        clip(-(50 + 20 * part) * F.ln(u(8)), 0.0, 5e3).alias("CAPITALLOSS"),
+        clip(40 + 2 * s("AGEP") + 12 * normal(1), 16.0, 90.0).alias("AGEP"),
+        pick(2, "SCHL").alias("SCHL"),
+        clip(40 + 1.5 * s("WKHP") + 10 * normal(3), 1.0, 80.0).alias("WKHP"),
+        pick(4, "OCCP").alias("OCCP"),
+        pick(5, "MAR").alias("MAR"),
+        pick(6, "ST").alias("ST"),
+        clip(-(500 + 200 * s("CAPITALGAIN")) * F.ln(u(7)), 0.0, 1e5).alias("CAPITALGAIN"),
+        clip(-(50 + 20 * s("CAPITALLOSS")) * F.ln(u(8)), 0.0, 5e3).alias("CAPITALLOSS"),
     )
-    score = 0.03 * F.col("AGEP") + 0.2 * F.col("SCHL") + 0.03 * F.col("WKHP") + F.when(F.col("OCCP").isin("mgmt", "tech"), 0.8).otherwise(0.0) - 4.5
-    p = 1 / (1 + F.exp(-score))
+    looked = lambda c, scores: F.element_at(F.create_map(*[F.lit(x) for kv in scores.items() for x in kv]), F.col(c))
+    score = 0.03 * F.col("AGEP") + 0.15 * F.col("SCHL") + 0.02 * F.col("WKHP") + 0.0002 * F.col("CAPITALGAIN") - 0.0003 * F.col("CAPITALLOSS")
+    score = score + looked("OCCP", _OCCP_SCORE) + looked("MAR", _MAR_SCORE) - 4.5
+    rows = rows.withColumn("label", (u(9) < 1 / (1 + F.exp(-score))).cast("double"))
     if mode == "label_shift":
-        p = F.when(F.col("row_id") >= n_train, clip(p * (prevalence / 0.5), 0.0, 1.0)).otherwise(p)
-    rows = rows.withColumn("label", (u(9) < p).cast("double"))
+        positive = int(n_test * prevalence)
+        later = lambda y, n: rows.where(in_test & (F.col("label") == y)).orderBy("row_id").limit(n)
+        rows = rows.where(~in_test).unionByName(later(1.0, positive)).unionByName(later(0.0, n_test - positive))
     spec = FeatureSpec(("OCCP", "MAR", "ST"), ("AGEP", "SCHL", "WKHP", "CAPITALGAIN", "CAPITALLOSS"))
     return bind(rows, ["row_id"], spec, F.col("row_id") < n_train, F.col("label"))
 

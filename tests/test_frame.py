@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, TARGET, WEIGHT, ContractError, FeatureSpec, LabelGuard, bind
-from driftloom.functions import tests as D
+from driftloom.functions import two_sample as D
 from driftloom.operators import compose as C
 from driftloom.operators import encode as E
 from driftloom.operators import etl as X

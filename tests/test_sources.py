@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftloom.frame import SPLIT, ContractError
-from driftloom.functions.tests import ks
+from driftloom.functions import two_sample
+from driftloom.functions.two_sample import ks
 from driftloom.operators import runs as R
 from driftloom.sources import datasets as S
 from driftloom.streaming import stats
@@ -68,7 +69,30 @@ def test_csv_with_pruning(spark, tmp_path):
 
 def test_icd9_groups(spark):
     codes = spark.createDataFrame([("250.13",), ("414",), ("785",), ("786",), ("V57",), ("999",), (None,)], "c string")
-    assert [r[0] for r in codes.select(S.icd9_group(F.col("c"))).collect()] == ["diabetes", "circulatory", "circulatory", "respiratory", "other", "injury", "other"]
+    assert [r[0] for r in codes.select(S.icd9_group(F.col("c"))).collect()] == ["diabetes", "circulatory", "circulatory", "respiratory", "supplementary", "injury", "unknown"]
+
+
+@pytest.mark.parametrize("strength,mean_ks,mean_js", [(0.0, 0.011, 8.5e-05), (0.5, 0.04362, 0.000427), (1.0, 0.08208, 0.00151), (3.0, 0.20872, 0.013951), (5.0, 0.30666, 0.041693)])
+def test_generated_shift_is_as_published(spark, strength, mean_ks, mean_js):
+    frame = S.synthetic(spark, 10_000, 10_000, strength)
+    assert abs(ks(frame).agg(F.avg("ks")).first()[0] - mean_ks) < 0.008
+    assert abs(two_sample.divergence(two_sample.split_counts(frame)).agg(F.avg("js")).first()[0] - mean_js) < 0.0003 + 0.1 * mean_js
+
+
+def test_label_shift_keeps_what_columns_are_like(spark):
+    frame = S.synthetic(spark, 6000, 4000, mode="label_shift", prevalence=0.65)
+    assert frame.test.count() == 4000 and frame.train.count() == 6000
+    assert ks(frame).agg(F.max("ks")).first()[0] < 0.08
+
+
+def test_random_chains_and_their_unknown_steps(spark):
+    from driftloom.operators import compose, runs
+
+    made = runs.chains([{"name": "one", "steps": ["freq_ratio_log", "joint_scaling"]}], compose.METHODS)
+    out = made["one"](S.synthetic(spark, 300, 200)).output()
+    assert out.count() == 500 and len(out.columns) > 5
+    with pytest.raises(KeyError):
+        runs.chains([{"name": "bad", "steps": ["no such step"]}], compose.METHODS)
 
 
 def test_generated_shift_rises(spark):
