@@ -406,9 +406,14 @@ def _masks_of_hot(held: DataFrame, hot: DataFrame, kind: Kind) -> DataFrame:
     """Masks of the contexts of units that are too great: cut ever finer, arrays for what is small enough."""
     key = ["h", "a", "b"]
     done = None
+    held = held.where("size(asked_hot) > 0").drop("asked")
     for span in SPANS:
-        asked = hot.groupBy("key", "sig").agg(F.collect_list(F.struct(*_PLACED)).alias("asked"))
-        rows = written(held.join(asked, ["key", "sig"]).select("text", "asked").mapInArrow(_pieces_of(kind, span), _PIECE), "pieces")
+        if done is None:  # the texts hold what is asked of them
+            asked = held.select("text", F.col("asked_hot").alias("asked"))
+        else:
+            asked = hot.groupBy("key", "sig").agg(F.collect_list(F.struct(*_PLACED)).alias("asked"))
+            asked = held.join(asked, ["key", "sig"]).select("text", "asked")
+        rows = written(asked.mapInArrow(_pieces_of(kind, span), _PIECE), "pieces")
         once = rows.groupBy("unit", "pa", "pb").agg(
             F.first("lead").alias("lead"), F.first("starts").alias("starts"), F.least(F.sum("n"), F.lit(2)).cast("short").alias("n"), F.first("body").alias("body")
         )
@@ -473,14 +478,16 @@ def repeated_spans(
     once = written(once.select(*context, "n", "stands.*"), "contexts_once")
     great = written(once.groupBy("h").count().where(F.col("count") > UNIT_CONTEXTS).select("h"), "great_anchors")
     hot = None if great.isEmpty() else written(once.join(great, "h"), "contexts_hot")
-    normal = once if hot is None else once.join(great, "h", "left_anti")
-    asked = normal.groupBy(*doc).agg(F.collect_list(F.struct(*_PLACED)).alias("asked"))
+    marked = once.withColumn("hot", F.lit(None).cast("boolean")) if hot is None else once.join(great.withColumn("hot", F.lit(True)), "h", "left")
+    asked = marked.groupBy(*doc).agg(
+        F.collect_list(F.when(F.col("hot").isNull(), F.struct(*_PLACED))).alias("asked"), F.collect_list(F.when(F.col("hot"), F.struct(*_PLACED))).alias("asked_hot")
+    )
     holders = often.select(*doc).distinct()  # as many as there are texts, so never broadcast
     held = written(long.join(holders.hint("merge"), doc, "left_semi").dropDuplicates(doc).join(asked, doc, "left"), "texts_held")
-    pieces = held.where("asked is not null").select("text", "asked").mapInArrow(_pieces_of(kind, None), _PIECE)
+    pieces = held.where("size(asked) > 0").select("text", "asked").mapInArrow(_pieces_of(kind, None), _PIECE)
     masks = _arrays(pieces, kind).select(F.col("unit").alias("h"), F.col("pa").alias("a"), F.col("pb").alias("b"), F.lit(0).alias("at"), "mask")
     if hot is not None:
-        masks = masks.unionByName(_masks_of_hot(held.drop("asked"), hot, kind))
+        masks = masks.unionByName(_masks_of_hot(held, hot, kind))
     return _covered(base, held, often, masks, kind, id_col)
 
 
