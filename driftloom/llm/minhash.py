@@ -19,6 +19,8 @@ BANDS, ROWS = 30, 6
 UNIT_MEMBERS, UNIT_SHINGLES = 1024, 2_000_000
 #: Members of one unit that are compared with a leader alone.
 STAR_MEMBERS = 512
+#: Edges that a task gathers before it turns them into stars.
+FOLD_EDGES = 1 << 20
 #: Up to so many members are compared pair by pair, more by products of incidence matrices.
 FEW, COLUMNS = 12, 4096
 
@@ -98,32 +100,67 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
     return docs.mapInArrow(sketch, "doc_id long, n long, set_a long, set_b long, bands array<long>")
 
 
-def connected(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node reachable over the edges (a, b), by alternating stars.
+def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Edges from every node to the smallest one that it is linked with, and whether they differ from those given."""
+    nodes, ends = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    given = np.unique(x * len(nodes) + y)
+    root = np.arange(len(nodes))
+    while len(x):
+        p, q = root[x], root[y]
+        apart = p != q
+        x, y, p, q = x[apart], y[apart], p[apart], q[apart]
+        np.minimum.at(root, np.maximum(p, q), np.minimum(p, q))  # both are roots, so no cycle arises
+        while not np.array_equal(higher := root[root], root):
+            root = higher
+    node = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[node], nodes[root[node]], not np.array_equal(node * len(nodes) + root[node], given)
+
+
+def _contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars; moved tells whether any edge had moved or moves here."""
+    held = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    count, moved = 0, False
+
+    def fold() -> None:
+        nonlocal held, count, moved
+        a, b, changed = spanning_stars(np.concatenate(held[0]), np.concatenate(held[1]))
+        held, count, moved = ([a], [b]), 0, moved or changed
+
+    for batch in batches:
+        for column, part in zip(held, (batch["a"], batch["b"]), strict=True):
+            column.append(part.to_numpy(zero_copy_only=False))
+        moved = moved or bool(np.any(batch["moved"].to_numpy(zero_copy_only=False)))
+        count += batch.num_rows
+        if count > FOLD_EDGES:
+            fold()
+    fold()
+    a, b = held[0][0], held[1][0]
+    for at in range(0, len(a), 65536):
+        rows = pa.array(a[at : at + 65536]), pa.array(b[at : at + 65536])
+        yield pa.RecordBatch.from_arrays([*rows, pa.array([moved] * len(rows[0]), pa.bool_())], ["a", "b", "moved"])
+
 
-    Large stars link every greater neighbour to the smallest, small stars every lesser one; the
-    steps repeat until no edge changes. Rows stay linear in the edges; each step is written to
-    the shared folder.
+def connected(edges: DataFrame) -> DataFrame:
+    """node, root: the smallest node reachable over the edges (a, b), by stars within and across partitions.
+
+    Each task turns the edges of its partition into stars around their smallest nodes, in memory
+    that grows with its nodes. Then every edge to a node that has a lesser neighbour elsewhere
+    moves to that neighbour, and edges meet again by their greater end, until none moves. Rows never
+    become more. Stars are made before the first exchange too, so a node has no more
+    edges than there were tasks, and a hub is the lesser end, whose edges a join may split. Each
+    step is written to the shared folder.
     """
-    now = written(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    state = None
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        # aggregates are written before they are joined, so that adaptive execution may split a hub
-        least = written(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
-            low.select("a", F.col("m").alias("b"))
-        )
-        now = written(small.where("a <> b").distinct(), "edges")
-        found = now.agg(F.count(F.lit(1)), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
-        if found == state:
-            return now.groupBy("a").agg(F.min("b").alias("root")).withColumnRenamed("a", "node")
-        state = found
+    given = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved"))
+    schema = "a long, b long, moved boolean"
+    now = written(given.mapInArrow(_contract, schema).repartition("a").mapInArrow(_contract, schema), "edges")
+    while not now.where("moved").isEmpty():
+        # the aggregate is written before it is joined, so that adaptive execution may split a hub
+        least = written(now.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), "least")
+        hooked = now.join(least.hint("merge"), F.col("b") == F.col("c"), "left")
+        hooked = hooked.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
+        now = written(hooked.repartition("a").mapInArrow(_contract, schema), "edges")
+    return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
 def unit_links(ids: list[int], sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -282,17 +319,20 @@ def near_duplicates(
         rays = fans.select(unit, F.col("b").cast("string").alias("leader"), F.explode(F.array("a", "b")).alias("doc_id")).distinct()
         small = small.unionByName(rays)
     links = _decided(base, small, words, percent)
-    if hot is not None:
-        links = written(links, "links")
+    if hot is None:
+        root = connected(links)
+    else:
         # bands whose members are not yet in one component
-        label = hot.join(connected(links).withColumnRenamed("root", "part"), "node", "left").select("node", "n", F.coalesce("part", "node").alias("part"))
+        root = connected(links)
+        label = hot.join(root.withColumnRenamed("root", "part"), "node", "left").select("node", "n", F.coalesce("part", "node").alias("part"))
         label = written(label, "parts")
         banded = keys.withColumnRenamed("doc_id", "node").join(label, "node")
         open_bands = banded.groupBy("band").agg(F.min("part").alias("p"), F.max("part").alias("q"), F.count(F.lit(1)).alias("m"), F.sum("n").alias("total")).where("p <> q")
         open_bands = written(open_bands.select("band", "m", "total"), "open_bands")
-        more = _dealt(banded.join(open_bands.select("band"), "band").select("node", "band"), "band", open_bands)
-        links = links.unionByName(_decided(base, more, words, percent))
-    root = connected(links)
+        if not open_bands.isEmpty():
+            more = _dealt(banded.join(open_bands.select("band"), "band").select("node", "band"), "band", open_bands)
+            # the stars found so far stand for their links
+            root = connected(root.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(_decided(base, more, words, percent)))
     own = classes.select(F.col("doc_id").alias("class_id"), "n", "set_a", "set_b").hint("merge")
     same = full.join(own, ["n", "set_a", "set_b"]).select("doc_id", "n", "class_id")
     joined = same.join(root, F.col("class_id") == F.col("node"), "left")

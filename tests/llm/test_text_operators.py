@@ -273,6 +273,32 @@ def test_near_duplicates_equal_brute_force(spark, monkeypatch, members):
         assert (got[i]["n_shingles"], got[i]["component_id"], got[i]["kept"]) == (n[i], root[i], root[i] == i)
 
 
+@pytest.mark.parametrize("fold", [7, 1 << 20])
+def test_connected_equals_brute_force(spark, monkeypatch, fold):
+    monkeypatch.setattr(minhash, "FOLD_EDGES", fold)
+    rng = random.Random(3)
+    path = list(range(100, 400))
+    rng.shuffle(path)
+    edges = list(itertools.pairwise(path))  # a long chain in random order
+    edges += [(999, x) for x in range(500, 560)] + [(1000, x) for x in range(1001, 1060)]  # hubs above and below
+    edges += [(rng.randrange(2000, 2300), rng.randrange(2000, 2300)) for _ in range(160)]
+    edges += [(5000, 5000), (-3, 7), (7, -3), (2**62, -(2**62))] + edges[:20]
+    parent = {x: x for e in edges for x in e}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for x, y in edges:
+        x, y = find(x), find(y)
+        parent[max(x, y)] = min(x, y)
+    rng.shuffle(edges)
+    got = minhash.connected(spark.createDataFrame(edges, "a long, b long").repartition(9)).collect()
+    assert sorted(map(tuple, got)) == sorted((x, find(x)) for x in parent if find(x) != x)
+    assert minhash.connected(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 def test_near_duplicates_compare_words_and_not_hashes(spark):
     assert sum(map(len, map(set, [common.word_hashes(balanced(1024)).tolist(), common.word_hashes(balanced(1024).translate({97: "b", 98: "a"})).tolist()]))) == 2
     texts = [balanced(1024), balanced(1024).translate({97: "b", 98: "a"}), balanced(5000), balanced(5000).translate({97: "b", 98: "a"}), "A " + balanced(1024)]
