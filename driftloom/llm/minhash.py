@@ -157,7 +157,7 @@ def connected(edges: DataFrame) -> DataFrame:
     while not now.where("moved").isEmpty():
         # the aggregate is written before it is joined, so that adaptive execution may split a hub
         least = written(now.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), "least")
-        hooked = now.join(least.hint("merge"), F.col("b") == F.col("c"), "left")
+        hooked = now.join(least, F.col("b") == F.col("c"), "left")
         hooked = hooked.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
         now = written(hooked.repartition("a").mapInArrow(_contract, schema), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
