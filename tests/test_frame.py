@@ -166,3 +166,22 @@ def test_entry_without_the_text_package(tmp_path):
     shutil.copy(here / "__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 60 and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={"PATH": "/usr/bin:/bin", "PYTHONPATH": str(tmp_path)})
+
+
+def test_neighbours_meet_without_a_join_of_blocks(spark):
+    """Blocks in pairs were 21 GB on disk at 100,000 rows of 64 columns."""
+    points = spark.createDataFrame([(i, "train" if i % 2 else "test", [float(i % 7), 1.0]) for i in range(40)], "id long, split string, vec array<double>")
+    near = N.nearest(points, 3, block=4)
+    assert "Join" not in near._jdf.queryExecution().toString() and "Cartesian" not in near._jdf.queryExecution().toString()
+    got = {(r["id"], r["nsplit"], r["rank"]): (r["nid"], r["dist"]) for r in near.collect()}
+    for i in range(40):
+        for s in (0, 1):
+            best = sorted((abs(i % 7 - j % 7), j) for j in range(40) if j != i and j % 2 == s)[:3]
+            assert [got[(i, "train" if s else "test", r + 1)] for r in range(3)] == [(j, float(d)) for d, j in best]
+
+
+def test_a_missing_leaf_differs_from_nothing(spark):
+    """As in SQL, where a comparison with null is not true."""
+    leaves = spark.createDataFrame([(0, "train", [1.0, None]), (1, "test", [2.0, 5.0]), (2, "test", [1.0, 3.0])], "id long, split string, vec array<double>")
+    got = {(r["id"], r["nid"]): r["dist"] for r in N.nearest(leaves, 2, "hamming").collect()}
+    assert got[(0, 1)] == 0.5 and got[(0, 2)] == 0.0 and got[(1, 2)] == 1.0
