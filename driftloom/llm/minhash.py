@@ -6,12 +6,11 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftloom.llm.common import mixed, shingle_hashes, text_of, word_hashes, written
+from driftloom.llm.common import in_slices, mixed, returning, shingle_hashes, text_of, word_hashes, written
 
 #: 30 bands of 6 coordinates: at a similarity of 0.85 a pair shares no band once in 1.5 million.
 BANDS, ROWS = 30, 6
@@ -97,7 +96,7 @@ def sketches(docs: DataFrame, words: int) -> DataFrame:
                 ["doc_id", "n", "set_a", "set_b", "bands"],
             )
 
-    return docs.mapInArrow(sketch, "doc_id long, n long, set_a long, set_b long, bands array<long>")
+    return docs.mapInArrow(in_slices(sketch), "doc_id long, n long, set_a long, set_b long, bands array<long>")
 
 
 def spanning_stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
@@ -153,13 +152,14 @@ def connected(edges: DataFrame) -> DataFrame:
     """
     given = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), F.lit(True).alias("moved"))
     schema = "a long, b long, moved boolean"
-    now = written(given.mapInArrow(_contract, schema).repartition("a").mapInArrow(_contract, schema), "edges")
+    contract = returning(_contract)
+    now = written(given.mapInArrow(contract, schema).repartition("a").mapInArrow(contract, schema), "edges")
     while not now.where("moved").isEmpty():
         # the aggregate is written before it is joined, so that adaptive execution may split a hub
         least = written(now.groupBy(F.col("a").alias("c")).agg(F.min("b").alias("m")), "least")
         hooked = now.join(least, F.col("b") == F.col("c"), "left")
         hooked = hooked.select("a", F.coalesce("m", "b").alias("b"), F.col("m").isNotNull().alias("moved"))
-        now = written(hooked.repartition("a").mapInArrow(_contract, schema), "edges")
+        now = written(hooked.repartition("a").mapInArrow(contract, schema), "edges")
     return now.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
@@ -228,7 +228,7 @@ def links_of_units(units: DataFrame, words: int, percent: int) -> DataFrame:
     Every link is decided on the words themselves, not on hashes.
     """
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, ids, texts, lead = None, [], [], None
 
         def close() -> list[tuple[int, int]]:
@@ -237,18 +237,22 @@ def links_of_units(units: DataFrame, words: int, percent: int) -> DataFrame:
                 return []
             return unit_links(ids, sets, percent) if lead is None else star_links(ids, sets, percent, lead)
 
+        def rows(found: list[tuple[int, int]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["a", "b"])
+
         for batch in batches:
             found = []
-            for unit, leader, doc, text in zip(batch["unit"], batch["leader"], batch["doc_id"], batch["text"], strict=True):
+            columns = (batch[c].to_pylist() for c in ("unit", "leader", "doc_id", "text"))
+            for unit, leader, doc, text in zip(*columns, strict=True):
                 if unit != now:
                     found += close()
                     now, ids, texts, lead = unit, [], [], None if leader is None else int(leader)
                 ids.append(int(doc))
                 texts.append(text)
-            yield pd.DataFrame(found, columns=["a", "b"], dtype="int64")
-        yield pd.DataFrame(close(), columns=["a", "b"], dtype="int64")
+            yield rows(found)
+        yield rows(close())
 
-    return units.mapInPandas(run, "a long, b long")
+    return units.mapInArrow(in_slices(run), "a long, b long")
 
 
 def _dealt(members: DataFrame, group: str, sizes: DataFrame) -> DataFrame:
@@ -347,8 +351,9 @@ def near_duplicates(
 
 
 def _decided(base: DataFrame, dealt: DataFrame, words: int, percent: int) -> DataFrame:
-    """The links of the units that unit, leader and doc_id name."""
+    """The links of the units that unit, leader and doc_id name; written, so that a task needs no second worker for the stars."""
     dealt = written(dealt, "dealt")
     # the named documents may be all of them, so they are never broadcast
     texts = base.join(dealt.select("doc_id").distinct().hint("merge"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"))
-    return links_of_units(dealt.hint("merge").join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit"), words, percent)
+    units = dealt.hint("merge").join(texts, "doc_id").repartition("unit").sortWithinPartitions("unit")
+    return written(links_of_units(units, words, percent), "links")

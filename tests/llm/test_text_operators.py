@@ -310,6 +310,24 @@ def test_near_duplicates_compare_words_and_not_hashes(spark):
     assert [len(s) for s in sets] == n and len(set(sets[0]) & set(sets[1])) == 0
 
 
+def test_workers_keep_little_between_tasks(spark):
+    """Tables, batches of any size and a second worker in a task count in an executor's memory."""
+    import pyarrow as pa
+
+    data = np.frombuffer(b"ab cd " * 100, dtype=np.uint8)
+    common.word_hashes(data.tobytes().decode())
+    assert sum(x.nbytes for pair in common._tables() for x in pair) <= 32 << 20
+    seen = []
+    rows = pa.RecordBatch.from_pydict({"x": list(range(2500))})
+    out = list(common.in_slices(lambda batches: (seen.append(b.num_rows) or b for b in batches))(iter([rows, rows[:0]])))
+    assert max(seen) <= common.SLICE and pa.Table.from_batches(out).column("x").to_pylist() == list(range(2500))
+    base = spark.createDataFrame([(1, "a b c d e"), (2, "a b c d e")], "doc_id long, text string")
+    dealt = spark.createDataFrame([("u", None, 1), ("u", None, 2)], "unit string, leader string, doc_id long")
+    links = minhash._decided(base, dealt, 5, 80)
+    assert "MapIn" not in links._jdf.queryExecution().toString()
+    assert {frozenset(r) for r in links.collect()} == {frozenset((1, 2))}
+
+
 def test_near_duplicates_of_nothing_and_null_ids(spark):
     assert minhash.near_duplicates(docs(spark, [])).count() == 0
     rows = minhash.near_duplicates(docs(spark, ["a b c", "a b c", "a b c"], [4, 4, None])).collect()
