@@ -288,6 +288,6 @@ def leaf_density_rf(spark, sf_dir):
 
 @query("label_prop_soft")
 def label_prop_soft(spark, sf_dir):
-    return P.label_propagation(vectors(spark, sf_dir, DIMS), 5, 0.5, folds=3, iterations=10).output()
+    return P.label_propagation(vectors(spark, sf_dir, DIMS)).output()
 
 
